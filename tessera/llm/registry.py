@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import spans
+from tessera.llm import leaks, neardup, spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": spans.p3_found,
     "p3_shared": spans.p3_shared,
+    "p4_found": neardup.p4_found,
+    "p4_groups": neardup.p4_groups,
+    "p6_found": leaks.p6_found,
+    "p6_leaks": leaks.p6_leaks,
 }
 
 ORACLE: dict[str, str] = {}
