@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import leaks, neardup, spans
+from tessera.llm import leaks, neardup, quality, spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": quality.p2_found,
+    "p2_statistics": quality.p2_statistics,
     "p3_found": spans.p3_found,
     "p3_shared": spans.p3_shared,
     "p4_found": neardup.p4_found,
