@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import leaks, neardup, quality, spans
+from tessera.llm import leaks, neardup, quality, reading, spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": quality.p2_found,
@@ -17,6 +17,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_groups": neardup.p4_groups,
     "p6_found": leaks.p6_found,
     "p6_leaks": leaks.p6_leaks,
+    "p8_found": reading.p8_found,
+    "p8_levels": reading.p8_levels,
 }
 
 ORACLE: dict[str, str] = {}
