@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import leaks, neardup, quality, reading, spans
+from tessera.llm import leaks, mixing, neardup, pairs, quality, reading, spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": quality.p2_found,
@@ -15,8 +15,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_shared": spans.p3_shared,
     "p4_found": neardup.p4_found,
     "p4_groups": neardup.p4_groups,
+    "p5_found": pairs.p5_found,
+    "p5_defects": pairs.p5_defects,
     "p6_found": leaks.p6_found,
     "p6_leaks": leaks.p6_leaks,
+    "p7_found": mixing.p7_found,
+    "p7_mixture": mixing.p7_mixture,
+    "p7_shares": mixing.p7_shares,
     "p8_found": reading.p8_found,
     "p8_levels": reading.p8_levels,
 }
