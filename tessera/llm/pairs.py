@@ -60,10 +60,20 @@ _BRACKETS = re.compile(r"\([^()]*\)|（[^（）]*）|\[[^\[\]]*\]|【[^【】]*
 _CJK = re.compile(r"[㐀-鿿]")
 _WORD = re.compile(r"[^\W\d_]+")
 _END = re.compile(r"[.!?。！？;；:]['\"”’»)\]）】]*\s*$|[)\]）】]['\"”’.]*\s*$")
+_ASIDE = re.compile(r"(?:[.!?。！？]\s*[(（\[][^()（）]*|[.!?。！？])[)）\]]['\"”’]*\s*$")
+_SHORTENED = re.compile(r"(?:\be\.\s?g|\bi\.\s?e|\bcf|\bvgl|\bz\.\s?B|\bbzw|\bp\.\s?ex|\bno|\bd\.\s?h|\bc\.-à-d|\bNr|\bviz)\.\s*$")
 _ENTRY = re.compile(r"^\s*(?:\d{1,3}[.)]|[-*•–]|[a-z][.)])(?:\s+|$)")
 _HANGING = re.compile(r"(?:[,(\[（，、：-]|\b(?:the|of|at|by|and|to|in|for|that|a|an|or|because|which|der|die|das|den|dem|und|bei|mit|von|le|la|les|de|du|des|et|que|à|see|is|when))\s*$|(?:…|\.\.\.)\s*$", re.I)
 
 
+def _closed(text: str, listed: bool = False) -> bool:
+    """Does the text end with a closing mark?  A bracket closes a list entry, or running text that had closed before it;
+    an abbreviation's point closes nothing."""
+    if not _END.search(text) or _SHORTENED.search(text):
+        return False
+    return listed or len(text) < 45 or text.rstrip("'\"”’ \n")[-1:] not in ")]）】" or bool(_ASIDE.search(text))
+
+
 def _language(text: str) -> tuple[str | None, int]:
     """Language by script or frequent words, and how clear it is."""
     body = _BRACKETS.sub(" ", text)
@@ -140,14 +150,16 @@ def _open_end(r: Record) -> int:
     if r.placeholder or r.error or r.listed or r.copied:
         return 0
     long = len(r.text) >= 45 or len(_CJK.findall(r.text)) >= 15
-    return -1 if _END.search(r.text) else 1 if long else -1 if len(r.text) < 30 else 0
+    return -1 if _closed(r.text) else 1 if long else -1 if len(r.text) < 30 else 0
 
 
 def _hanging(r: Record) -> int:
     """The last word or mark calls for more; a whole ending speaks against it."""
     if r.placeholder or r.error or r.copied:
         return 0
-    return 1 if _HANGING.search(r.text) and not re.search(r"\w\.$", r.text) else -1 if _END.search(r.text) else 0
+    if _SHORTENED.search(r.text):
+        return 1
+    return 1 if _HANGING.search(r.text) and not re.search(r"\w\.$", r.text) else -1 if _closed(r.text, r.listed) else 0
 
 
 def _open_entry(r: Record) -> int:
@@ -169,7 +181,7 @@ def _unclosed(r: Record) -> int:
     opened = sum(r.text.count(c) for c in "(（[") - sum(r.text.count(c) for c in ")）]")
     if r.placeholder or r.copied:
         return 0
-    return 1 if opened > 0 and not _END.search(r.text) else 0
+    return 1 if opened > 0 and not _closed(r.text) else 0
 
 
 def _not_cut(r: Record) -> int:

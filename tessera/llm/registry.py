@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import leaks, mixing, neardup, pairs, quality, reading, spans
+from tessera.llm import leaks, mixing, neardup, pairs, quality, reading, scans, spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": scans.p1_found,
+    "p1_repaired": scans.p1_repaired,
     "p2_found": quality.p2_found,
     "p2_statistics": quality.p2_statistics,
     "p3_found": spans.p3_found,
