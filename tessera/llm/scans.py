@@ -40,17 +40,24 @@ OUTNUMBER, FREQUENT = 8, 5
 # Character confusions of optical recognition, as read and as printed.
 CONFUSIONS = (
     ("c", "e"), ("e", "c"), ("l", "i"), ("i", "l"), ("cl", "d"), ("q", "g"), ("li", "h"), ("rn", "m"), ("m", "rn"), ("vv", "w"), ("n", "ri"),
-    ("ii", "u"), ("0", "o"), ("1", "l"), ("1", "i"), ("5", "s"), ("6", "b"), ("8", "b"), ("9", "g"), ("3", "e"), ("b", "h"), ("h", "b"),
+    ("ii", "u"), ("d", "cl"), ("0", "o"), ("1", "l"), ("1", "i"), ("5", "s"), ("6", "b"), ("8", "b"), ("9", "g"), ("3", "e"), ("b", "h"), ("h", "b"),
 )
 FIGURES = str.maketrans({"l": "1", "I": "1", "i": "1", "O": "0", "o": "0", "|": "1", "S": "5", "s": "5", "B": "8", "Z": "2"})
 LETTERS = str.maketrans({"0": "o", "1": "l", "5": "s", "6": "b", "8": "b", "9": "g", "3": "e"})
 
 _MARK = re.compile(r"(\S*[^\W_])([-‐‑­¬])[^\S\n]*$")
+_HYPHENS = frozenset("-‐‑\xad¬")
+_LOWER = re.compile(r"(?:^|\s)[a-kmnp-z]")
 _FIGURE = re.compile(r"[\dlIOo]*\d[\dlIOo]*")
 _TOKEN = re.compile(r"[^\W_]+")
 _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 
 
+def _break(line: str) -> re.Match | None:
+    """The word and the hyphen mark at the end of a line."""
+    return _MARK.search(line) if line.rstrip()[-1:] in _HYPHENS else None
+
+
 def shape(line: str) -> str:
     """Shape of a line: figures as #, words by their case, other marks as they are."""
 
@@ -89,7 +96,7 @@ class Page:
 def pages(text: str) -> list[Page]:
     out = [Page()]
     for k, x in enumerate(text.split("\n")):
-        if PAGE.match(x):
+        if "---" in x and PAGE.match(x):
             out.append(Page())
         else:
             out[-1].lines.append((k, x))
@@ -102,7 +109,8 @@ def _count_shapes(texts: list[str], counts: dict[str, list[int]]) -> None:
             head, foot = p.edges()
             edge = {*head, *foot}
             for k, (_, x) in enumerate(p.lines):
-                if x.strip() and len(x) <= 90 and _may_run(s := shape(x)):
+                # Two words in lower case already make running text.
+                if len(x) <= 90 and len(_LOWER.findall(x)) < 2 and x.strip() and _may_run(s := shape(x)):
                     counts.setdefault(s, [0, 0])[k not in edge] += 1
 
 
@@ -151,10 +159,10 @@ def read(text: str, running: frozenset[str]) -> Reading:
         for x in kept:
             if x.strip():
                 out.body.append(x)
-            elif out.body and out.body[-1] is not None and not _MARK.search(out.body[-1]):
+            elif out.body and out.body[-1] is not None and not _break(out.body[-1]):
                 out.body.append(None)
     for a, b in zip(out.body, out.body[1:]):
-        if a is None or b is None or not (m := _MARK.search(a)):
+        if a is None or b is None or not (m := _break(a)):
             continue
         right = b.split(None, 1)[0]
         left, right = _OUTER.sub("", m.group(1)), _OUTER.sub("", right)
@@ -163,11 +171,6 @@ def read(text: str, running: frozenset[str]) -> Reading:
     return out
 
 
-def _ends(left: str, right: str) -> tuple[str, str]:
-    """The parts that meet at the break, in lower case."""
-    return re.split(r"[-‐‑]", left.lower())[-1], re.split(r"[-‐‑]", right.lower())[0]
-
-
 def _tokens(r: Reading) -> list[str]:
     """Words of the running lines and of the body, broken words closed up."""
     out = [t for x in r.furniture for t in _TOKEN.findall(x)]
@@ -175,7 +178,7 @@ def _tokens(r: Reading) -> list[str]:
     for k, x in enumerate(r.body):
         if x is None:
             parts.append("\n")
-        elif k + 1 < len(r.body) and r.body[k + 1] is not None and (m := _MARK.search(x)):
+        elif k + 1 < len(r.body) and r.body[k + 1] is not None and (m := _break(x)):
             parts.append(x[: m.start(2)])
         else:
             parts.append(x + "\n")
@@ -192,7 +195,9 @@ def _suspect(t: str) -> bool:
 
 def number(t: str, in_furniture: bool = False) -> str | None:
     """The right figures of a number with misread characters, else None."""
-    if _FIGURE.fullmatch(t) and not t.isdigit():
+    if t.isdigit():
+        return None
+    if any(c.isdigit() for c in t) and _FIGURE.fullmatch(t):
         return t.translate(FIGURES)
     if in_furniture and len(t) <= 3 and set(t) <= set("lIO") and t not in ("I", "O", "II", "III"):
         return t.translate(FIGURES)
@@ -233,17 +238,34 @@ def lexicon(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def scan_words(scans: DataFrame, running: frozenset[str]) -> DataFrame:
-    """(word, n): words of the scanned texts that may be misread, broken words closed up, in lower case."""
+_READ = "id string, furniture array<string>, lefts array<string>, rights array<string>, tokens array<string>, figures array<string>, words array<string>, counts array<int>"
+
+
+def readings(scans: DataFrame, running: frozenset[str]) -> DataFrame:
+    """One row a scanned text: running lines, halves of broken words, misread numbers as read and as printed, and the
+    words that may be misread, in lower case, with their counts."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter[str] = Counter()
         for f in frames:
-            for t in f["text"]:
-                total.update(x.lower() for x in _tokens(read(t, running)) if _suspect(x) and len(x) <= 40)
-        yield pd.DataFrame(list(total.items()), columns=["word", "n"])
+            out: list[tuple] = []
+            for i, t in zip(f["id"], f["text"], strict=True):
+                r = read(t, running)
+                seen = Counter(_tokens(r))
+                figures = {(x, n) for x in seen if (n := number(x))} | {(x, n) for y in r.furniture for x in _TOKEN.findall(y) if (n := number(x, True))}
+                words: Counter[str] = Counter()
+                for x, n in seen.items():
+                    if len(x) <= 40 and _suspect(x) and not number(x):
+                        words[x.lower()] += n
+                broken = set(r.broken)
+                out.append((i, sorted(set(r.furniture)), [a for a, _ in broken], [b for _, b in broken], [x for x, _ in figures], [n for _, n in figures], list(words), list(words.values())))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _READ.split(", ")])
+
+    return scans.select("id", "text").repartition("id").mapInPandas(run, _READ)
 
-    return scans.select("text").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+def scan_words(read_: DataFrame) -> DataFrame:
+    """(word, n): words of the scanned texts that may be misread."""
+    return read_.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy(F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("n"))
 
 
 def _anagram(word):  # type: ignore[no-untyped-def]
@@ -304,48 +326,37 @@ def corrections(suspects: DataFrame, frequent: DataFrame) -> DataFrame:
 
 @dataclass
 class Evidence:
-    """Everything the corpus says about its scans."""
+    """Everything the corpus says about its scans: shapes of running lines, word counts, corrections, the readings."""
 
     running: frozenset[str]
     words: DataFrame
     fixes: DataFrame
+    readings: DataFrame
 
 
 def evidence(scans: DataFrame, texts: DataFrame, extra_pages: DataFrame) -> Evidence:
     """``scans`` are the scanned texts, ``texts`` all texts, ``extra_pages`` pages that are not among the texts."""
     running = frozenset(running_shapes(scans.select("text").unionByName(extra_pages.select("text"))))
     words = stored(lexicon(texts.select("text").unionByName(extra_pages.select("text"))))
-    fixes = stored(corrections(scan_words(scans, running), words))
-    return Evidence(running, words, fixes)
-
+    read_ = stored(readings(scans, running))
+    return Evidence(running, words, stored(corrections(scan_words(read_), words)), read_)
 
-_ROWS = "id string, kind string, token string, item string, left string, right string, a string, b string"
 
-
-def marks(scans: DataFrame, ev: Evidence) -> DataFrame:
-    """What may be wrong in each scanned text, before the evidence is joined: running lines and numbers are settled,
-    broken words come with their halves, words only if they may be in the corrections."""
+def suspects(ev: Evidence) -> DataFrame:
+    """(id, token, item): words that may be in the corrections, by a bitmap of these, and words with figures inside, with
+    the letters these stand for."""
     known = bitmap.build(ev.fixes.select(F.crc32(F.col("word").cast("binary")).alias("h")), "h")
-    running = ev.running
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out: list[tuple] = []
-            for i, t in zip(f["id"], f["text"], strict=True):
-                r = read(t, running)
-                out += [(i, "furniture", None, x, None, None, None, None) for x in set(r.furniture)]
-                out += [(i, "split_word", None, None, a, b, *_ends(a, b)) for a, b in set(r.broken)]
-                seen = set(_tokens(r))
-                figures = {(x, n) for x in seen if (n := number(x))} | {(x, n) for y in r.furniture for x in _TOKEN.findall(y) if (n := number(x, True))}
-                out += [(i, "misread", x, n, None, None, None, None) for x, n in figures]
-                words = sorted({x.lower() for x in seen if _suspect(x) and not number(x) and len(x) <= 40})
-                if words:
-                    hit = bitmap.contains(known, np.fromiter((zlib.crc32(x.encode()) for x in words), np.int64, len(words)))
-                    mixed = [any(c.isdigit() for c in x) and sum(c.isalpha() for c in x) >= 3 for x in words]
-                    out += [(i, "word", x, x.translate(LETTERS) if m else None, None, None, None, None) for x, h, m in zip(words, hit, mixed, strict=True) if h or m]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _ROWS.split(", ")])
+            for i, words in zip(f["id"], f["words"], strict=True):
+                hit = bitmap.contains(known, np.fromiter((zlib.crc32(x.encode()) for x in words), np.int64, len(words)))
+                mixed = [not x.isalpha() and sum(c.isalpha() for c in x) >= 3 for x in words]
+                out += [(i, x, x.translate(LETTERS) if m else None) for x, h, m in zip(words, hit, mixed, strict=True) if h or m]
+            yield pd.DataFrame(out, columns=["id", "token", "item"])
 
-    return scans.select("id", "text").mapInPandas(run, _ROWS)
+    return ev.readings.select("id", "words").mapInPandas(run, "id string, token string, item string")
 
 
 def joined_words(pairs: DataFrame, ev: Evidence) -> DataFrame:
@@ -362,19 +373,22 @@ def joined_words(pairs: DataFrame, ev: Evidence) -> DataFrame:
     return p.select("a", "b", F.when(keep, F.col("hyphened")).otherwise(F.col("shut")).alias("whole"))
 
 
-def defects(scans: DataFrame, ev: Evidence) -> DataFrame:
+def defects(ev: Evidence) -> DataFrame:
     """(id, defect, item, token, left, right): token is the misread string, left and right the halves of a broken word."""
-    rows = stored(marks(scans, ev))
-    none = F.lit(None).cast("string")
-    settled = rows.where("kind in ('furniture', 'misread')").select("id", F.col("kind").alias("defect"), "item", "token", none.alias("left"), none.alias("right"))
-    words = rows.where("kind = 'word'").join(ev.fixes.select(F.col("word").alias("token"), F.col("right").alias("fix")), "token", "left")
+    rows, none = ev.readings, F.lit(None).cast("string")
+    furniture = rows.select("id", F.lit("furniture").alias("defect"), F.explode("furniture").alias("item"), none.alias("token"), none.alias("left"), none.alias("right"))
+    numbers = rows.select("id", F.explode(F.arrays_zip("tokens", "figures")).alias("x"))
+    numbers = numbers.select("id", F.lit("misread").alias("defect"), F.col("x.figures").alias("item"), F.col("x.tokens").alias("token"), none.alias("left"), none.alias("right"))
+    words = suspects(ev).join(ev.fixes.select(F.col("word").alias("token"), F.col("right").alias("fix")), "token", "left")
     words = words.select("id", F.lit("misread").alias("defect"), F.coalesce("fix", "item").alias("item"), "token", none.alias("left"), none.alias("right")).where("item is not null")
-    broken = rows.where("kind = 'split_word'").select("id", "left", "right", "a", "b")
+    broken = rows.select("id", F.explode(F.arrays_zip("lefts", "rights")).alias("x")).select("id", F.col("x.lefts").alias("left"), F.col("x.rights").alias("right"))
+    last, first = F.element_at(F.split(F.lower("left"), "[-‐‑]"), -1), F.element_at(F.split(F.lower("right"), "[-‐‑]"), 1)
+    broken = broken.withColumn("a", last).withColumn("b", first)
     broken = broken.join(joined_words(broken, ev), ["a", "b"])
     before = F.lower(F.expr("substring(left, 1, length(left) - length(a))"))
     after = F.lower(F.expr("substring(right, length(b) + 1)"))
     broken = broken.select("id", F.lit("split_word").alias("defect"), F.concat(before, "whole", after).alias("item"), none.alias("token"), "left", "right")
-    return settled.unionByName(words).unionByName(broken)
+    return furniture.unionByName(numbers).unionByName(words).unionByName(broken)
 
 
 def repaired(scans: DataFrame, found: DataFrame, ev: Evidence) -> DataFrame:
@@ -402,7 +416,7 @@ def repaired(scans: DataFrame, found: DataFrame, ev: Evidence) -> DataFrame:
                     if x is None:
                         paragraphs.append([])
                     else:
-                        while k + 1 < len(lines) and lines[k + 1] is not None and (m := _MARK.search(x)):
+                        while k + 1 < len(lines) and lines[k + 1] is not None and (m := _break(x)):
                             first, _, rest = lines[k + 1].lstrip().partition(" ")
                             left, right = _OUTER.sub("", m.group(1)), _OUTER.sub("", first)
                             item = whole.get(left + "\n" + right)
@@ -440,10 +454,10 @@ def _inputs(spark: SparkSession, sf_dir: str, kinds: str) -> tuple[DataFrame, Ev
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct defects of the chunks loaded directly from scans."""
     scans, ev = _inputs(spark, sf_dir, "direct")
-    return defects(scans, ev).select("id", "defect", "item").distinct()
+    return defects(ev).select("id", "defect", "item").distinct()
 
 
 def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The repaired text of every chunk of a scanned file."""
     scans, ev = _inputs(spark, sf_dir, "all")
-    return repaired(scans, defects(scans, ev), ev)
+    return repaired(scans, defects(ev), ev)
