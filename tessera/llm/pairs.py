@@ -25,7 +25,7 @@ from tessera.plans.tables import stored, table
 #: Posterior a defect must exceed, validated on records read by hand.
 CUTOFFS = {"empty": 0.5, "truncated": 0.5, "refusal": 0.5, "copy": 0.5, "language": 0.5}
 #: Start of the estimation and weight of this start against the data, in records.
-PRIOR, HIT, FALSE_HIT, STRENGTH = 0.05, 0.9, 0.05, 50.0
+PRIOR, HIT, FALSE_HIT, STRENGTH = 0.05, 0.9, 0.02, 50.0
 ROUNDS = 200
 
 _PLACEHOLDER = re.compile(

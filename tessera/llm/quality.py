@@ -325,7 +325,7 @@ def statistics(records: DataFrame, common_words: list[str], piece: int = PIECE,
         | (F.col("broken") > 0.12)
         | ((F.col("bits") > 0.75) & (F.col("table_share") + F.col("list_share") < 0.5))
         | ((F.col("symbol_ratio") > 0.3) & (F.col("readable") < 0.6) & (F.col("table_share") + F.col("list_share") < 0.5))
-        | ((F.col("alpha") >= 12) & (F.col("loop") >= 0.85) & (F.col("common_word_share") < 0.25) & (F.col("plain") >= 0.5 * F.col("solid")))
+        | ((F.col("alpha") >= 12) & (F.col("loop") >= 0.85) & (F.col("plain_words") >= 6) & (F.col("cjk") < 0.25) & (F.col("common_word_share") < 0.25) & (F.col("plain") >= 0.5 * F.col("solid")))
         | ((F.col("lower") >= 40) & (F.col("vowels") < 0.29) & (F.col("common_word_share") < 0.06) & (F.col("plain") >= 0.5 * F.col("solid")))
     )
     list_chars = F.col("list_share") * F.col("solid") + F.when(~natural & ~cells, F.col("plain")).otherwise(0)

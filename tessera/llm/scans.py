@@ -76,9 +76,9 @@ def shape(line: str) -> str:
 
 
 def _may_run(s: str) -> bool:
-    """Shapes worth counting: few lower-case words, not running text."""
+    """Shapes worth counting: few lower-case words, a figure or a capital, and no end of a clause."""
     words = s.split()
-    return 0 < len(words) <= 12 and sum(w == "x" or w.startswith("x") for w in words) <= 1
+    return 0 < len(words) <= 12 and s[-1] not in ".,;" and ("#" in s or "X" in s) and sum(w == "x" or w.startswith("x") for w in words) <= 1
 
 
 @dataclass
