@@ -249,6 +249,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record with how much of it stands in a record of another document; records that share nothing have 0."""
-    texts = chunk_texts(spark, sf_dir).groupBy("id").agg(F.max(F.length("text")).alias("n_chars"))
+    texts = chunk_texts(spark, sf_dir).groupBy("id").agg(F.max(F.length("text")).cast("long").alias("n_chars"))
     spans = shared_spans(chunk_texts(spark, sf_dir)).drop("n_chars")
-    return texts.join(spans, "id", "left").select("id", "n_chars", *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("shared_chars", "share", "n_spans")))
+    counts = (F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in ("shared_chars", "n_spans"))
+    return texts.join(spans, "id", "left").select("id", "n_chars", *counts, F.coalesce("share", F.lit(0.0)).alias("share"))
