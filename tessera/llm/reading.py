@@ -28,6 +28,8 @@ from tessera.plans.tables import table
 BANDS = ("basic", "middle", "advanced")
 #: Labelled documents the models are fitted on, at most.
 MAX_LABELLED = 1500
+#: Share of a language's frequent words that settles it for a line.
+CLEAR = 0.12
 GRAM = 4
 BITS = 15
 PENALTY = 2e-5
@@ -52,36 +54,58 @@ def sentences(text: str) -> list[str]:
 
 @dataclass
 class Features:
-    """Hashed features of sentences: index of each, the sentence that holds it (sorted), words per sentence."""
+    """Hashed features of sentences: words, four-grams, and two for the lengths that weigh ``extra`` times.  Indexes stand
+    sentence by sentence; ``n_words`` and ``n_grams`` say how many each has."""
 
-    index: np.ndarray
-    first: np.ndarray
-    count: np.ndarray
-    words: np.ndarray
+    word: np.ndarray
+    gram: np.ndarray
+    n_words: np.ndarray
+    n_grams: np.ndarray
+    length: np.ndarray
+    size: np.ndarray
+    extra: np.ndarray
+
+    @property
+    def count(self) -> np.ndarray:
+        return self.n_words + self.n_grams + 2 * self.extra
 
 
 def features(sents: list[str]) -> Features:
     w = tv.words(sents)
     per = w.per_text
-    mask = np.uint64((1 << BITS) - 1)
-    n = len(w.cp) - GRAM + 1
-    owner = np.repeat(np.arange(len(sents)), np.diff(w.text_start))
-    at = np.flatnonzero(owner[:n] == owner[GRAM - 1 :]) if n > 0 else np.zeros(0, np.int64)
-    at = at[w.cp[at + GRAM - 1] != 0]
+    n = max(len(w.cp) - GRAM + 1, 0)
     x = w.cp.astype(np.uint64)
-    g = np.zeros(len(at), np.uint64)
+    g = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        g = (g + x[k : n + k]) * np.uint64(0x9E3779B97F4A7C15)
+    # A gram lies inside its sentence if the separator, which is NUL, is not among its characters.
+    ends = w.text_start[1:] - 1
+    inside = np.ones(n, bool)
     for k in range(GRAM):
-        g = (g + x[at + k]) * np.uint64(0x9E3779B97F4A7C15)
-    length = np.minimum(per, 63)
-    size = np.minimum(np.bincount(w.owner, (w.end - w.start), len(sents)) / np.maximum(per, 1) * 4, 63).astype(np.int64)
+        inside[ends[(ends - k >= 0) & (ends - k < n)] - k] = False
+    grams = np.maximum(np.diff(w.text_start) - 1 - (GRAM - 1), 0)
+    letters = np.concatenate([[0], np.cumsum(w.end - w.start)])
+    size = (letters[w.first[1:]] - letters[w.first[:-1]]) / np.maximum(per, 1) * 4
     base = 2 << BITS
-    # Length of the sentence and of its words stand for an eighth of its features.
-    extra = np.maximum((per + np.bincount(owner[at], minlength=len(sents))) // 16, 1)
-    index = np.concatenate([(w.hash & mask).astype(np.int64), ((g >> np.uint64(64 - BITS)) & mask).astype(np.int64) + (1 << BITS), np.repeat(base + length, extra), np.repeat(base + 64 + size, extra)])
-    own = np.concatenate([w.owner, owner[at], np.repeat(np.arange(len(sents)), extra), np.repeat(np.arange(len(sents)), extra)])
-    order = np.argsort(own, kind="stable")
-    count = np.bincount(own, minlength=len(sents))
-    return Features(index[order], np.cumsum(count) - count, count, per)
+    return Features(
+        (w.hash & np.uint64((1 << BITS) - 1)).astype(np.int32),
+        (g[inside] >> np.uint64(64 - BITS)).astype(np.int32) + (1 << BITS),
+        per,
+        grams,
+        base + np.minimum(per, 63),
+        base + 64 + np.minimum(size, 63).astype(np.int64),
+        # Length of the sentence and of its words stand for an eighth of its features.
+        np.maximum((per + grams) // 16, 1),
+    )
+
+
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of consecutive groups of rows, empty groups included."""
+    out = np.zeros((len(counts), values.shape[1]), np.float64)
+    some = counts > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (np.cumsum(counts) - counts)[some], axis=0)
+    return out
 
 
 FEATURES = (2 << BITS) + 128
@@ -94,21 +118,22 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def sentence_bands(f: Features, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """Distribution over the bands of each sentence."""
-    z = np.add.reduceat(weights[f.index], f.first, axis=0) / f.count[:, None] if len(f.count) else np.zeros((0, len(BANDS)))
-    return _softmax(z + bias)
+    z = _sums(weights[f.word], f.n_words) + _sums(weights[f.gram], f.n_grams) + f.extra[:, None] * (weights[f.length] + weights[f.size])
+    return _softmax(z / f.count[:, None] + bias)
 
 
 def fit_sentences(f: Features, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Multinomial logistic regression with an L2 penalty on mean-pooled features, by Adam over the whole sample."""
     w, b = np.zeros((FEATURES, len(BANDS)), np.float32), np.zeros(len(BANDS), np.float32)
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)
-    row = np.repeat(np.arange(len(f.count)), f.count)
+    every = np.arange(len(f.count))
+    parts = [(f.word, np.repeat(every, f.n_words), 1.0), (f.gram, np.repeat(every, f.n_grams), 1.0), (f.length, every, f.extra), (f.size, every, f.extra)]
     mass = target.sum()
     for k in range(1, ROUNDS + 1):
         d = (sentence_bands(f, w, b) * target.sum(axis=1, keepdims=True) - target) / mass
         gb = d.sum(axis=0)
         d = d / f.count[:, None]
-        g = np.stack([np.bincount(f.index, d[row, c], FEATURES) for c in range(len(BANDS))], axis=1) + PENALTY * w
+        g = np.stack([sum(np.bincount(index, d[row, c] * times, FEATURES) for index, row, times in parts) for c in range(len(BANDS))], axis=1) + PENALTY * w
         for x, y, p, q in ((g, w, m, v), (gb, b, mb, vb)):
             p *= 0.9
             p += 0.1 * x
@@ -145,8 +170,8 @@ def document_means(texts: list[str], weights: np.ndarray, bias: np.ndarray) -> t
     mean, words = np.zeros((len(texts), len(BANDS))), np.zeros(len(texts))
     for part in tv.blocks(flat):
         f = features(flat[part])
-        p = sentence_bands(f, weights, bias) * f.words[:, None]
-        words += np.bincount(owner[part], f.words, len(texts))
+        p = sentence_bands(f, weights, bias) * f.n_words[:, None]
+        words += np.bincount(owner[part], f.n_words, len(texts))
         for c in range(len(BANDS)):
             mean[:, c] += np.bincount(owner[part], p[:, c], len(texts))
     return mean / np.maximum(words, 1)[:, None], words, np.bincount(owner, minlength=len(texts))
@@ -185,10 +210,34 @@ def levels(documents: DataFrame, labels: DataFrame, words_by_lang: dict[str, lis
     langs = sorted(words_by_lang)
     sets = [word_hashes(words_by_lang[x]) for x in langs]
 
-    def language(texts: list[str]) -> np.ndarray:
+    def language(texts: list[str], stated: list[str | None]) -> list[str | None]:
+        """By script, by the frequent words of most lines, else as stated, else English if plain Latin letters."""
         w = tv.words(texts)
-        hits = np.stack([np.bincount(w.owner[_among(w.hash, s)], minlength=len(texts)) for s in sets], axis=1) if sets else np.zeros((len(texts), 1))
-        return np.where(hits.max(axis=1) > 0.04 * np.maximum(w.per_text, 1), hits.argmax(axis=1), -1)
+        # Lines where a language's frequent words have a clear share count for it with all their words.
+        line = np.cumsum((w.cp == 10) | (w.cp == 0))[w.start]
+        n_lines = int(line[-1]) + 1 if len(line) else 0
+        size = np.bincount(line, minlength=n_lines)
+        share = np.zeros((len(texts), max(len(sets), 1)))
+        for c, x in enumerate(sets):
+            clear = np.bincount(line[_among(w.hash, x)], minlength=n_lines) >= CLEAR * np.maximum(size, 1)
+            share[:, c] = np.bincount(w.owner[clear[line]], minlength=len(texts)) / np.maximum(w.per_text, 1)
+        owner = np.repeat(np.arange(len(texts)), np.diff(w.text_start))
+        letters = tv.word_table()[w.cp]
+        count = lambda where: np.bincount(owner[where], minlength=len(texts)) / np.maximum(np.bincount(owner[letters], minlength=len(texts)), 1)
+        han, accents = count(letters & (w.cp >= 0x3400) & (w.cp < 0xA000)), count(letters & (w.cp > 0x7F))
+        out: list[str | None] = []
+        for k, said in enumerate(stated):
+            said = (said or "").strip().lower()[:2]
+            best = int(share[k].argmax())
+            if han[k] > 0.3:
+                out.append("zh")
+            elif langs and share[k, best] >= 0.5:
+                out.append(langs[best])
+            elif not w.per_text[k]:
+                out.append(None)
+            else:
+                out.append(said if said in langs else "en" if accents[k] < 0.005 else langs[best] if langs and share[k, best] > 0 else None)
+        return out
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
@@ -200,11 +249,10 @@ def levels(documents: DataFrame, labels: DataFrame, words_by_lang: dict[str, lis
                 p = model.documents(mean) if model else mean
                 known = words > 0
                 band = np.array(BANDS, object)[p.argmax(axis=1)]
-                lang = language(some)
                 yield pd.DataFrame(
                     {
                         "doc_id": f["doc_id"].to_numpy()[part],
-                        "language": [langs[k] if k >= 0 else None for k in lang],
+                        "language": language(some, f["lang"].tolist()[part]),
                         "n_sentences": n.astype(np.int64),
                         "n_words": words.astype(np.int64),
                         "difficulty": np.where(known, np.round(p @ np.array([0.0, 0.5, 1.0]), 6), np.nan),
@@ -212,7 +260,8 @@ def levels(documents: DataFrame, labels: DataFrame, words_by_lang: dict[str, lis
                     }
                 )
 
-    out = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(run, "doc_id long, language string, n_sentences long, n_words long, difficulty double, band string")
+    stated = F.col("lang") if "lang" in documents.columns else F.lit(None)
+    out = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text", stated.cast("string").alias("lang")).mapInPandas(run, "doc_id long, language string, n_sentences long, n_words long, difficulty double, band string")
     return out.withColumn("difficulty", F.when(~F.isnan("difficulty"), F.col("difficulty")))
 
 
