@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import answers as A
 from tessera.operators import chunking as C
+from tessera.operators import ordinals as O
 from tessera.operators import questions as Q
 from tessera.operators import retrieval as R
 from tessera.operators.batch_qa import answer_batch
@@ -197,7 +198,7 @@ def page_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("batch_ordinal", "SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 50 AS BIGINT) AS batch FROM documents WHERE doc_id IS NOT NULL")
 def batch_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch of 50 that each document falls into."""
-    return C.ordinal_batches(table(spark, sf_dir, "documents").select("doc_id").where("doc_id is not null"), 50, "doc_id").select("doc_id", "batch")
+    return O.batches(table(spark, sf_dir, "documents").select("doc_id").where("doc_id is not null"), 50, "doc_id").select("doc_id", "batch")
 
 
 @query(
@@ -474,7 +475,7 @@ def qa_json_three(spark: SparkSession, sf_dir: str) -> DataFrame:
 def qa_record_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of each record in its category."""
     r = A.records(table(spark, sf_dir, "questions"), _latest_answers(spark, sf_dir))
-    return A.numbered(r, ("category",), F.struct("q_pos", "id"), "place").select("category", F.col("place").cast("long").alias("place"), "id", "answer")
+    return O.positions(r, ("q_pos", "id"), "at", ("category",)).select("category", (F.col("at") + 1).alias("place"), "id", "answer")
 
 
 @query(

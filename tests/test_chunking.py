@@ -111,13 +111,6 @@ def test_page_marked(spark):
     assert C.page_marked(df).first().text == "\n--- Page 1 ---\n\n--- Page 2 ---\nB"
 
 
-def test_ordinal_batches(spark):
-    df = spark.range(1000).repartition(7)
-    got = {r.id: r.batch for r in C.ordinal_batches(df, 37, "id").collect()}
-    assert got == {k: k // 37 for k in range(1000)}
-    assert C.ordinal_batches(spark.range(0), 5, "id").count() == 0
-
-
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "n int, text string")
     assert C.overlapped(empty).count() == C.prechunked(empty).count() == C.direct(empty).count() == 0
