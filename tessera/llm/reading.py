@@ -37,19 +37,24 @@ ROUNDS = 60
 
 _BREAK = re.compile(r"(?<=[.!?])[\"”’')\]]*\s+(?=[\"“‘'(]?[A-ZÄÖÜÉÈÀÇ])|\n+")
 _WRAP = re.compile(r"(?<![.!?:;|\n])\n(?=[a-z0-9(])")
-_ROW = re.compile(r"\t|\||\S {3,}\S|(?:[^;]*;){3}|\.{4,}")
+_ROW = ("\t", "|", "   ", "....")
 _ITEM = re.compile(r"(?:[-*•–]\s|\(?(?:\d{1,3}|[a-z]|[ivx]{1,4})[.)]\s)")
 
 
+def _row(s: str) -> bool:
+    """Fields of a table, or dot leaders."""
+    return any(x in s for x in _ROW) or s.count(";") >= 3
+
+
 def sentences(text: str) -> list[str]:
     """Sentences of the running text: at least four words, closed by a full stop or long enough to be a cut sentence.
     A text without any is read line by line."""
     out = []
     for s in _BREAK.split(_WRAP.sub(" ", text)):
         s = s.strip()
-        if s.count(" ") >= 3 and (s[-1] in ".!?\"”')" or s.count(" ") >= 11) and not _ROW.search(s) and not (_ITEM.match(s) and len(s) < 160):
+        if s.count(" ") >= 3 and (s[-1] in ".!?\"”')" or s.count(" ") >= 11) and not _row(s) and not (_ITEM.match(s) and len(s) < 160):
             out.append(s)
-    return out or [s for x in text.split("\n") if (s := x.strip(" -*•–\t\r")).count(" ") >= 2 and not _ROW.search(s)]
+    return out or [s for x in text.split("\n") if (s := x.strip(" -*•–\t\r")).count(" ") >= 2 and not _row(s)]
 
 
 @dataclass
