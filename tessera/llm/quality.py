@@ -127,7 +127,10 @@ def line_kinds(v: np.ndarray, head: list[str], tail: list[str], length: np.ndarr
     enum, leader, gloss = match(ENUM.match, head), match(LEADER.search, tail), match(GLOSS.match, head) & (length <= 90)
     label = match(LABEL.match, head) & (length <= 60)
     grid = (v[:, DIGIT] >= 0.7 * solid) & (v[:, WORDS] >= 3)
-    columns = (v[:, PIPE] >= 2) | (v[:, TAB] >= 2) | (v[:, GAPS] >= 2) | (v[:, SEMIS] >= 2) | ((v[:, COMMAS] >= 2) & (v[:, COMMAS] * 4 >= v[:, WORDS] - 4)) | grid
+    # Running text with odd spaces or marks is no row of fields.
+    running = (v[:, WORDS] >= 10) & (v[:, COMMON] >= 0.2 * v[:, WORDS])
+    loose = (v[:, GAPS] >= 2) | (v[:, SEMIS] >= 2) | ((v[:, COMMAS] >= 2) & (v[:, COMMAS] * 4 >= v[:, WORDS] - 4))
+    columns = (v[:, PIPE] >= 2) | (v[:, TAB] >= 2) | (loose & ~running) | grid
     kind = np.where((solid >= 25) & (v[:, WORDS] >= 4) | (v[:, CJK] >= 8), LONG_LINE, SHORT_LINE)
     kind = np.where(solid <= 4, BITS, kind)
     kind = np.where(label, TABLE, kind)
@@ -324,7 +327,7 @@ def statistics(records: DataFrame, common_words: list[str], piece: int = PIECE,
         (F.col("encoded") > 0.3)
         | (F.col("broken") > 0.12)
         | ((F.col("bits") > 0.75) & (F.col("table_share") + F.col("list_share") < 0.5))
-        | ((F.col("symbol_ratio") > 0.3) & (F.col("readable") < 0.6) & (F.col("table_share") + F.col("list_share") < 0.5))
+        | ((F.col("symbol_ratio") > 0.3) & (F.col("readable") < 0.6))
         | ((F.col("alpha") >= 12) & (F.col("loop") >= 0.85) & (F.col("plain_words") >= 6) & (F.col("cjk") < 0.25) & (F.col("common_word_share") < 0.25) & (F.col("plain") >= 0.5 * F.col("solid")))
         | ((F.col("lower") >= 40) & (F.col("vowels") < 0.29) & (F.col("common_word_share") < 0.06) & (F.col("plain") >= 0.5 * F.col("solid")))
     )
