@@ -32,7 +32,7 @@ SYMBOLS = 6
 SLACK = 4.0
 #: A table entry of more classes is compared in blocks spread over tasks, distances first.
 HOT = 256
-BLOCK = 128
+BLOCK = 2048
 
 _SIZE = SEGMENTS * SYMBOLS
 _rng = np.random.default_rng(20240601)
