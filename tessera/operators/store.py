@@ -40,27 +40,34 @@ class Collection:
     def __post_init__(self) -> None:
         self.root = f"{self.location.rstrip('/')}/{self.name}" if self.location else work_dir(self.spark)
 
-    def _file(self, name: str):  # type: ignore[no-untyped-def]
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def _fs(self):  # type: ignore[no-untyped-def]
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return path, path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _versions(self) -> list[str]:
+        """Names of the published states, oldest first."""
+        path, fs = self._fs()
+        if not fs.exists(path(self.root)):
+            return []
+        return sorted(f.getPath().getName() for f in fs.listStatus(path(self.root)) if f.getPath().getName().startswith("state-"))
 
     def _state(self) -> dict:
-        path, fs = self._file("current.json")
-        if not fs.exists(path):
+        names = self._versions()
+        if not names:
             return {"generations": []}
-        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.root}/current.json").collect()))
+        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.root}/{names[-1]}").collect()))
 
     def _switch(self, generations: list[str]) -> None:
-        """Publish the list of generations by a rename, so a reader sees the old list or the new one."""
-        fresh, fs = self._file(f"next-{uuid.uuid4().hex}")
+        """Publish the list of generations as the next state, by a rename: a reader sees the old list or the new one."""
+        path, fs = self._fs()
+        names = self._versions()
+        number = int(names[-1][6:-5]) + 1 if names else 0
+        fresh = path(f"{self.root}/next-{uuid.uuid4().hex}")
         out = fs.create(fresh, True)
         out.write(bytearray(json.dumps({"generations": generations, "dimensions": self.dimensions}).encode()))
         out.close()
-        path, _ = self._file("current.json")
-        if fs.exists(path):
-            fs.delete(path, False)
-        fs.rename(fresh, path)
+        if not fs.rename(fresh, path(f"{self.root}/state-{number:09d}.json")):
+            raise RuntimeError("another writer changed the collection at the same time")
 
     def exists(self) -> bool:
         return bool(self._state()["generations"])
