@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -69,35 +70,50 @@ _HANGING = re.compile(r"(?:[,(\[（，、：-]|\b(?:the|of|at|by|and|to|in|for|t
 def _closed(text: str, listed: bool = False) -> bool:
     """Does the text end with a closing mark?  A bracket closes a list entry, or running text that had closed before it;
     an abbreviation's point closes nothing."""
-    if not _END.search(text) or _SHORTENED.search(text):
+    last = text[-60:]  # what closes a text stands at its end
+    if not _END.search(last) or _SHORTENED.search(last):
         return False
     return listed or len(text) < 45 or text.rstrip("'\"”’ \n")[-1:] not in ")]）】" or bool(_ASIDE.search(text))
 
 
-def _language(text: str) -> tuple[str | None, int]:
-    """Language by script or frequent words, and how clear it is."""
-    body = _BRACKETS.sub(" ", text)
-    zh = len(_CJK.findall(body))
-    words = [w.lower() for w in _WORD.findall(_CJK.sub(" ", body))]
-    if zh >= 4 and zh * 2 >= len(words):
-        return "zh", zh
-    counts = {k: sum(w in v for w in words) for k, v in _STOPS.items()}
-    best = sorted(counts, key=counts.__getitem__, reverse=True)
-    lead = counts[best[0]] - counts[best[1]]
-    return (best[0], lead) if lead >= 1 and (counts[best[0]] >= 2 or len(words) <= 6) else (None, 0)
+_ENDINGS = {
+    "en": re.compile(r"\b[a-zà-ÿ]\w*(?:ed|ing|tion|ly)\b"),
+    "de": re.compile(r"\b[a-zà-ÿ]\w*(?:ung|keit|lich|isch|ieb|eit|cht|ä|ö|ü|ß)\b|\b[a-zà-ÿ]?\w*[äöüß]\w*\b"),
+    "fr": re.compile(r"\b[a-zà-ÿ]\w*(?:eur|ment|ée?s?|eau|ique|ien|oir)\b|\b[a-zà-ÿ]?\w*[éèêàçù]\w*\b"),
+}
+
+
+class Side:
+    """A query or an answer outside its brackets: words, script, and its language by two independent signs."""
 
+    def __init__(self, text: str) -> None:
+        self.body = _BRACKETS.sub(" ", text) if any(c in text for c in "()（[【“«") else text
+        self.han = 0 if self.body.isascii() else len(_CJK.findall(self.body))
+        self.words = _WORD.findall(_CJK.sub(" ", self.body).lower() if self.han else self.body.lower())
+        self.letters = sum(map(len, self.words)) + self.han
 
-_ENDINGS = {"en": re.compile(r"(?:ed|ing|tion|ly)$"), "de": re.compile(r"(?:ung|keit|lich|isch|ieb|eit|cht|ä|ö|ü|ß)|[äöüß]"), "fr": re.compile(r"(?:eur|ment|ée?s?|eau|ique|ien|oir)$|[éèêàçù]")}
+    @cached_property
+    def language(self) -> tuple[str | None, int]:
+        """Language by script or frequent words, and how clear it is."""
+        if self.han >= 4 and self.han * 2 >= len(self.words):
+            return "zh", self.han
+        counts = {k: sum(map(v.__contains__, self.words)) for k, v in _STOPS.items()}
+        best = sorted(counts, key=counts.__getitem__, reverse=True)
+        lead = counts[best[0]] - counts[best[1]]
+        return (best[0], lead) if lead >= 1 and (counts[best[0]] >= 2 or len(self.words) <= 6) else (None, 0)
 
+    @cached_property
+    def form(self) -> str | None:
+        """Language by word endings and letters, independent of the frequent words."""
+        if len(self.words) < 4:
+            return None
+        counts = {k: len(r.findall(self.body)) for k, r in _ENDINGS.items()}
+        best = sorted(counts, key=counts.__getitem__, reverse=True)
+        return best[0] if counts[best[0]] >= 2 and counts[best[0]] > 2 * counts[best[1]] else None
 
-def _by_form(text: str) -> str | None:
-    """Language by word endings and letters, independent of the frequent words."""
-    words = [w.lower() for w in _WORD.findall(_BRACKETS.sub(" ", text)) if w[0].islower() and len(w) > 3]
-    if len(words) < 4:
-        return None
-    counts = {k: sum(bool(r.search(w)) for w in words) for k, r in _ENDINGS.items()}
-    best = sorted(counts, key=counts.__getitem__, reverse=True)
-    return best[0] if counts[best[0]] >= 2 and counts[best[0]] > 2 * counts[best[1]] else None
+
+# One of these stands in every refusing sentence.
+_REFUSING = re.compile(r"n['’]t|not|unable|lack|decline|refuse|no |nothing|empty|outside|kein|nich|pas|aucun|impossible|无|不|没|未|找|超出|拒", re.I)
 
 
 def _grams(s: str, n: int = 3) -> set[str]:
@@ -119,13 +135,16 @@ class Record:
         self.error = bool(_ERROR.match(self.text)) and len(self.text) < 160 and self.text.count(". ") == 0
         self.placeholder = bool(_PLACEHOLDER.fullmatch(self.core)) or not any(c.isalnum() for c in self.core)
         bare = _WRAPPER.sub("", self.text)
-        a, q = _grams(bare), _grams(self.query)
+        # A text many times as long as the query holds more than the query.
+        near = len(bare) <= 8 * len(self.query)
+        a, q = (_grams(bare), _grams(self.query)) if near else ({bare}, {self.query})
         self.inside = len(a & q) / max(len(a), 1) if len(self.query) >= 8 and len(bare) >= 8 else 0.0
         self.cover = len(a & q) / max(len(q), 1) if self.inside else 0.0
         self.size = len(bare) / max(len(self.query), 1)
         self.copied = self.inside >= 0.85 and self.size <= 2.4
         self.sents = [s for s in re.split(r"(?<=[.!?])\s+|(?<=[。！？])|\n+", self.text) if s.strip()]
-        self.declines = [bool(_DECLINE.search(s) or _DECLINE_ZH.search(s)) for s in self.sents]
+        self.declines = [bool(_REFUSING.search(s) and (_DECLINE.search(s) or _DECLINE_ZH.search(s))) for s in self.sents]
+        self.said, self.asked = Side(self.text), Side(self.query)
         self.lines = [x for x in self.text.split("\n") if x.strip()]
         self.listed = len(self.lines) >= 1 and sum(bool(_ENTRY.match(x)) for x in self.lines) * 2 > len(self.lines)
 
@@ -157,9 +176,10 @@ def _hanging(r: Record) -> int:
     """The last word or mark calls for more; a whole ending speaks against it."""
     if r.placeholder or r.error or r.copied:
         return 0
-    if _SHORTENED.search(r.text):
+    last = r.text[-60:]
+    if _SHORTENED.search(last):
         return 1
-    return 1 if _HANGING.search(r.text) and not re.search(r"\w\.$", r.text) else -1 if _closed(r.text, r.listed) else 0
+    return 1 if _HANGING.search(last) and not re.search(r"\w\.$", last) else -1 if _closed(r.text, r.listed) else 0
 
 
 def _open_entry(r: Record) -> int:
@@ -168,8 +188,7 @@ def _open_entry(r: Record) -> int:
         return 0
     last, rest = r.lines[-1], r.lines[:-1]
     body = _ENTRY.sub("", last).strip()
-    stopped = [bool(_END.search(x)) for x in rest]
-    if rest and all(stopped) and not _END.search(last):
+    if rest and not _END.search(last[-60:]) and all(_END.search(x[-60:]) for x in rest):
         return 1
     if len(body) < 3 or (rest and len(body) < 0.35 * min(len(_ENTRY.sub("", x)) for x in rest)):
         return 1
@@ -218,6 +237,8 @@ def _contained(r: Record) -> int:
 def _same_words(r: Record) -> int:
     if not r.query or r.placeholder:
         return 0
+    if r.size > 4:
+        return -1
     a, q = (set(_WORD.findall(_WRAPPER.sub("", x).lower())) for x in (r.text, r.query))
     same = len(a & q) / max(len(a | q), 1)
     return 1 if same >= 0.7 and r.size <= 2.4 else -1 if same < 0.45 else 0
@@ -233,26 +254,26 @@ def _covered(r: Record) -> int:
 def _other_language(r: Record) -> int:
     if r.placeholder or r.error or not r.query:
         return 0
-    (a, clear), (q, _) = _language(r.text), _language(r.query)
+    (a, clear), (q, _) = r.said.language, r.asked.language
     if not a or not q:
         return 0
     return -1 if a == q else 1 if clear >= 2 or len(r.text) < 60 else 0
 
 
 def _other_script(r: Record) -> int:
-    if r.placeholder or r.error or not r.query:
-        return 0
-    share = [len(_CJK.findall(x)) / max(sum(c.isalpha() for c in x), 1) for x in (_BRACKETS.sub("", r.text), _BRACKETS.sub("", r.query))]
-    if sum(c.isalpha() for c in r.text) < 12:
+    if r.placeholder or r.error or not r.query or r.said.letters < 12:
         return 0
+    share = [x.han / max(x.letters, 1) for x in (r.said, r.asked)]
     return 1 if abs(share[0] - share[1]) > 0.3 and min(share) < 0.1 else -1 if min(share) > 0.2 else 0
 
 
 def _other_form(r: Record) -> int:
-    if r.placeholder or r.error or not r.query or _CJK.search(r.query):
+    """Asked only where the frequent words don't already agree."""
+    if r.placeholder or r.error or not r.query or r.asked.han:
         return 0
-    a, q = _by_form(r.text), _language(r.query)[0]
-    return 0 if not a or not q else 1 if a != q else -1
+    q = r.asked.language[0]
+    a = r.said.form if q and r.said.language[0] != q else None
+    return 0 if not a else 1 if a != q else -1
 
 
 FUNCTIONS: dict[str, tuple[Vote, ...]] = {
