@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import chunk_key, document_id, normalise_newlines, strip, tail
+from tessera.functions.text import WHITE_CHARS, chunk_key, document_id, normalise_newlines, strip, tail
 
 MARKER = r"--- Document Chunk \d+ ---"
 LONG_TEXT = 262_144
@@ -81,20 +81,17 @@ def packed_parts(text: Column, split_by: str, chunk_size: int, overlap: int) ->
 
 # The same in Python, for Arrow batches of long texts.
 
-_WHITE = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-
-
 def char_pieces(text: str, chunk_size: int, overlap: int) -> list[str]:
     cut = (text[max(0, k - overlap) if overlap else 0 : k + chunk_size] for k in range(0, len(text), chunk_size))
-    return [p for x in cut if (p := x.strip(_WHITE))]
+    return [p for x in cut if (p := x.strip(WHITE_CHARS))]
 
 
 def plain_pieces(text: str, chunk_size: int) -> list[str]:
-    return [p for k in range(0, len(text), chunk_size) if (p := text[k : k + chunk_size].strip(_WHITE))]
+    return [p for k in range(0, len(text), chunk_size) if (p := text[k : k + chunk_size].strip(WHITE_CHARS))]
 
 
 def packed_pieces(text: str, split_by: str, chunk_size: int, overlap: int) -> list[str]:
-    parts = [p for x in text.split("\n") if (p := x.strip(_WHITE))] if split_by == "paragraph" else text.split("。")
+    parts = [p for x in text.split("\n") if (p := x.strip(WHITE_CHARS))] if split_by == "paragraph" else text.split("。")
     done, cur, size = [], [], 0
     for u in parts:
         if size and size + len(u) > chunk_size:
@@ -105,29 +102,31 @@ def packed_pieces(text: str, split_by: str, chunk_size: int, overlap: int) -> li
         else:
             cur.append(u)
             size += len(u)
-    return [p for x in [*done, "".join(cur)] if (p := x.strip(_WHITE))]
+    return [p for x in [*done, "".join(cur)] if (p := x.strip(WHITE_CHARS))]
 
 
 def chunk(texts: DataFrame, parts: Callable[[Column], Column], pieces: Callable[[str], list[str]] | None = None, text: str = "text") -> DataFrame:
     """Chunks of every text by the column function ``parts``; longer texts by ``pieces``."""
     kept = [c for c in texts.columns if c not in (text, *OUTPUT)]
-    body = texts.where(F.col(text).isNotNull()).select(*kept, normalise_newlines(F.col(text)).alias("_text"))
+    present = texts.where(F.col(text).isNotNull())
+    body = lambda rows: rows.select(*kept, normalise_newlines(F.col(text)).alias("_text"))
 
     def table(rows: DataFrame, made: Column) -> DataFrame:
         named = rows.withColumn("doc_id", F.sha2("_text", 256)).withColumn("_parts", made).withColumn("total_chunks", F.size("_parts"))
-        out = named.select(*kept, "doc_id", "total_chunks", F.posexplode("_parts").alias("chunk_id", "_piece"))
+        # The outer form keeps the optimizer from computing all pieces once more, in a filter on their number.
+        out = named.select(*kept, "doc_id", "total_chunks", F.posexplode_outer("_parts").alias("chunk_id", "_piece")).where("chunk_id is not null")
         content = F.struct(F.lit("text").alias("type"), F.col("_piece").alias("text"))
         return out.select(*kept, chunk_key(F.col("doc_id"), F.col("chunk_id")).alias("id"), "doc_id", "chunk_id", "total_chunks", content.alias("content"))
 
     if pieces is None:
-        return table(body, parts(F.col("_text")))
+        return table(body(present), parts(F.col("_text")))
 
     @F.pandas_udf("array<string>")
     def long_parts(x: pd.Series) -> pd.Series:
         return x.map(pieces)
 
-    short, long = body.where(F.length("_text") <= LONG_TEXT), body.where(F.length("_text") > LONG_TEXT)
-    return table(short, parts(F.col("_text"))).unionByName(table(long, long_parts("_text")))
+    short, long = present.where(F.length(text) <= LONG_TEXT), present.where(F.length(text) > LONG_TEXT)
+    return table(body(short), parts(F.col("_text"))).unionByName(table(body(long), long_parts("_text")))
 
 
 def prechunked(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -166,7 +165,7 @@ def pages(texts: DataFrame, text: str = "text") -> DataFrame:
     kept = [c for c in texts.columns if c not in (text, "page_no", "page_text")]
     number = F.concat(F.array(F.lit("0")), F.regexp_extract_all(F.col(text), F.lit(r"--- Page (\d+) ---"), F.lit(1)))
     both = F.arrays_zip(number.alias("no"), F.split(F.col(text), r"--- Page \d+ ---").alias("body"))
-    rows = texts.where(F.col(text).isNotNull()).select(*kept, F.explode(both).alias("p"))
+    rows = texts.where(F.col(text).isNotNull()).select(*kept, F.explode_outer(both).alias("p"))
     return rows.select(*kept, F.col("p.no").cast("int").alias("page_no"), strip(F.col("p.body")).alias("page_text")).where("page_no > 0 or page_text <> ''")
 
 

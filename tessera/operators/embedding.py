@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,16 +18,22 @@ Embedder = Callable[[list[str]], np.ndarray]
 DIMENSIONS = 1024
 
 
+@lru_cache(maxsize=200_000)
+def _hashed(word: str) -> tuple[int, float]:
+    h = hashlib.md5(word.encode()).digest()
+    return int.from_bytes(h[:4], "big"), 1.0 if h[4] & 1 else -1.0
+
+
 def hashing_embedder(dimensions: int = DIMENSIONS) -> Embedder:
     """Bag of words by signed MD5 hashing, unit length; an empty text gives the zero vector."""
 
     def embed(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dimensions), np.float32)
-        for k, t in enumerate(texts):
-            for w in re.findall(r"[^\W_]+", t.lower()):
-                h = hashlib.md5(w.encode()).digest()
-                out[k, int.from_bytes(h[:4], "big") % dimensions] += 1.0 if h[4] & 1 else -1.0
-        return unit(out).astype(np.float32)
+        words = [re.findall(r"[^\W_]+", t.lower()) for t in texts]
+        hashed = [_hashed(w) for ws in words for w in ws]
+        row = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])
+        slot = row * dimensions + np.fromiter((h % dimensions for h, _ in hashed), np.int64, len(hashed))
+        sums = np.bincount(slot, np.fromiter((s for _, s in hashed), np.float64, len(hashed)), len(texts) * dimensions)
+        return unit(sums.reshape(len(texts), dimensions)).astype(np.float32)
 
     return embed
 

@@ -21,7 +21,7 @@ def categories(sheets: DataFrame, sheet: str = "text", key: str | None = None) -
     kept = [key] if key else []
     names = F.regexp_extract_all(F.col(sheet), F.lit(HEADER), F.lit(1))
     bodies = F.expr(f"slice(split(`{sheet}`, '{HEADER}'), 2, greatest(size(split(`{sheet}`, '{HEADER}')) - 1, 0))".replace("\\", "\\\\"))
-    rows = sheets.where(F.col(sheet).isNotNull()).select(*kept, F.posexplode(F.arrays_zip(names.alias("name"), bodies.alias("body"))).alias("at", "c"))
+    rows = sheets.where(F.col(sheet).isNotNull()).select(*kept, F.posexplode_outer(F.arrays_zip(names.alias("name"), bodies.alias("body"))).alias("at", "c")).where("at is not null")
     rows = rows.select(*kept, "at", F.col("c.name").alias("category"), F.col("c.body").alias("body"))
     same = Window.partitionBy(*kept, "category")
     latest = rows.withColumn("_last", F.max("at").over(same)).withColumn("_first", F.min("at").over(same)).where("at = _last")
@@ -33,7 +33,7 @@ def parse(sheets: DataFrame, sheet: str = "text", key: str | None = None) -> Dat
     """([key], category, cat_pos, q_pos, id, text): the questions of each sheet."""
     kept = [key] if key else []
     items = F.arrays_zip(F.regexp_extract_all("body", F.lit(ITEM), F.lit(1)).alias("n"), F.regexp_extract_all("body", F.lit(ITEM), F.lit(2)).alias("t"))
-    rows = categories(sheets, sheet, key).select(*kept, "category", "cat_pos", F.posexplode(items).alias("q_pos", "i"))
+    rows = categories(sheets, sheet, key).select(*kept, "category", "cat_pos", F.posexplode_outer(items).alias("q_pos", "i")).where("q_pos is not null")
     return rows.select(*kept, "category", "cat_pos", "q_pos", F.col("i.n").cast("bigint").alias("id"), strip(F.col("i.t")).alias("text"))
 
 
