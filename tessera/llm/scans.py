@@ -8,8 +8,9 @@
   the difference of one or two known confusions; matches are verified and ranked by the number of confusions and the
   frequency.  Figures misread in numbers, and in words that no frequent word explains, follow the confusions themselves.
 
-Null texts and ids take no part, blank pages have no lines, an empty table gives no rows, repeated rows count once per
-id; other columns are ignored.
+Null texts and ids take no part, blank pages have no lines, an empty table gives no rows.  Whatever is counted is counted
+over distinct pages and texts: rows loaded again, texts copied under other ids and pages that stand in a chunk and in the
+table of pages weigh once.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from tessera.llm import textvec as tv
 from tessera.plans.tables import chunk_texts, stored, table
 
 PAGE = re.compile(r"^\s*-{3}\s*Page\s+\d+\s*-{3}\s*$")
+#: The same for Spark, over all lines of a text.
+_PAGES = r"(?mdU)^[^\S\n]*-{3}[^\S\n]*Page[^\S\n]+\d+[^\S\n]*-{3}[^\S\n]*$"
 #: Lines next to a page's edge that may be running lines.
 EDGE_LINES = 3
 #: A shape is a running line's if it was seen so often at edges, and this many times as often as inside pages.
@@ -103,6 +106,12 @@ def pages(text: str) -> list[Page]:
     return [p for p in out if any(x.strip() for _, x in p.lines)]
 
 
+def distinct_pages(texts: DataFrame) -> DataFrame:
+    """(text): every page of the texts once, without white space around it; a text without page lines is one page."""
+    parts = texts.where("text is not null").select(F.explode(F.split("text", _PAGES)).alias("text"))
+    return parts.select(F.expr(r"btrim(text, ' \n\r\t')").alias("text")).where("text <> ''").distinct()
+
+
 def _count_shapes(texts: list[str], counts: dict[str, list[int]]) -> None:
     for t in texts:
         for p in pages(t):
@@ -263,9 +272,10 @@ def readings(scans: DataFrame, running: frozenset[str]) -> DataFrame:
     return scans.select("id", "text").repartition("id").mapInPandas(run, _READ)
 
 
-def scan_words(read_: DataFrame) -> DataFrame:
-    """(word, n): words of the scanned texts that may be misread."""
-    return read_.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy(F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("n"))
+def scan_words(read_: DataFrame, scans: DataFrame) -> DataFrame:
+    """(word, n): words of the scanned texts that may be misread; of texts that are alike one is counted."""
+    one = scans.groupBy(F.sha2("text", 256).alias("key")).agg(F.min("id").alias("id")).select("id")
+    return read_.join(one, "id", "left_semi").select(F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy(F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("n"))
 
 
 def _anagram(word):  # type: ignore[no-untyped-def]
@@ -336,10 +346,10 @@ class Evidence:
 
 def evidence(scans: DataFrame, texts: DataFrame, extra_pages: DataFrame) -> Evidence:
     """``scans`` are the scanned texts, ``texts`` all texts, ``extra_pages`` pages that are not among the texts."""
-    running = frozenset(running_shapes(scans.select("text").unionByName(extra_pages.select("text"))))
-    words = stored(lexicon(texts.select("text").unionByName(extra_pages.select("text"))))
+    running = frozenset(running_shapes(distinct_pages(scans.select("text").unionByName(extra_pages.select("text")))))
+    words = stored(lexicon(distinct_pages(texts.select("text").unionByName(extra_pages.select("text")))))
     read_ = stored(readings(scans, running))
-    return Evidence(running, words, stored(corrections(scan_words(read_), words)), read_)
+    return Evidence(running, words, stored(corrections(scan_words(read_, scans), words)), read_)
 
 
 def suspects(ev: Evidence) -> DataFrame:

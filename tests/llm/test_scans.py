@@ -81,3 +81,23 @@ def test_empty(spark):
     none = spark.createDataFrame([], "id string, text string")
     ev = s.evidence(none, none, none)
     assert s.defects(ev).count() == 0 and s.repaired(none, s.defects(ev), ev).count() == 0
+
+
+def test_copies_weigh_once(spark):
+    """A misread text that is loaded again, copied under other ids and kept as a page is still outnumbered by the right word."""
+    plain = [(f"t{k}", f"Report {k}: the driver reported that the signal failed again.") for k in range(12)]
+    page = "The drivcr reported that the signal failed again."
+    copies = [(f"c{k}", f"--- Page 1 ---\n{page}") for k in range(30)]
+    scans = spark.createDataFrame(copies, "id string, text string")
+    texts = spark.createDataFrame([*plain, *copies * 3], "id string, text string")
+    ev = s.evidence(scans, texts, spark.createDataFrame([(page,)] * 20, "text string"))
+    assert [tuple(r) for r in ev.fixes.collect()] == [("drivcr", "driver")]
+    assert s.defects(ev).where("defect = 'misread' and item = 'driver'").count() == 30
+    assert {r.word: r.n for r in ev.words.where("word in ('driver', 'drivcr')").collect()} == {"driver": 12, "drivcr": 1}
+
+
+def test_copied_page_is_no_running_line(spark):
+    """A line at the edge of one page is no running line because the page has copies."""
+    text = "Oldham Works | Issue 3\n\n" + "\n".join(SENTENCES)
+    scans = spark.createDataFrame([(f"c{k}", f"--- Page {k} ---\n{text}\n") for k in range(20)], "id string, text string")
+    assert s.evidence(scans, scans, spark.createDataFrame([(text,)], "text string")).running == frozenset()
