@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tessera.llm import textvec as tv
 from tessera.plans.tables import chunk_texts, table
 
-PIECE = 1 << 17
+PIECE = 1 << 12
 FAN = 16
 #: Characters of a line's ends that the line rules and the seams look at.
 EDGE = 64

@@ -63,3 +63,12 @@ def test_huge_documents_go_through_the_tree(spark):
 
 def test_empty(spark):
     assert q.statistics(spark.createDataFrame([], "id string, text string"), COMMON).count() == 0
+
+
+def test_real_chunks_are_split(spark):
+    """Chunks as they are exceed a piece, and splitting them changes nothing."""
+    sf = "/root/testdata/sf0.01"
+    long = q.chunk_texts(spark, sf).where(f"length(text) > {q.PIECE}")
+    words = q.common_words(spark, sf)
+    split = sorted(map(tuple, q.statistics(long, words).collect()))
+    assert len(split) > 0 and split == sorted(map(tuple, q.statistics(long, words, piece=1 << 20).collect()))
