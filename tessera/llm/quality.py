@@ -3,7 +3,8 @@
 A text is cut into pieces of at most ``PIECE`` characters.  Every piece gives associative partial counts: totals over
 its complete lines, and the state of the unfinished lines at its two ends (counts, first and last characters).  Where
 two pieces meet, the joined line is counted anew in a narrow strip around the seam, so the merge gives exactly what the
-whole text would give; pieces are merged by a tree of groups of ``FAN`` neighbours.  Ratios and rules come last.
+whole text would give.  Pieces are merged by a tree: groups of ``FAN`` neighbours in any task, then the groups of a text.
+A text of one piece has no seam, and its ends are finished where it was counted.  Ratios and rules come last.
 
 Null texts give no row, an empty text gives zero counts and kind ``prose``; repeated rows of an id give one row (rows of
 one id hold the same text); columns other than id and text are ignored.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,7 +25,7 @@ from tessera.llm import textvec as tv
 from tessera.plans.tables import chunk_texts, table
 
 PIECE = 1 << 12
-FAN = 16
+FAN = 64
 #: Characters of a line's ends that the line rules and the seams look at.
 EDGE = 64
 #: A run of so many characters without a space is encoded data rather than words.
@@ -71,7 +73,7 @@ def _codes() -> np.ndarray:
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
-    """Sorted hashes of single words, to be looked up in the hashes of a text."""
+    """Sorted hashes of single words, to be looked up in the hashes of a text; ``d'un`` is two words."""
     return np.unique(tv.words(words).hash) if words else np.zeros(0, np.uint64)
 
 
@@ -84,9 +86,8 @@ def _among(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
 def line_counts(texts: list[str], common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Counts of every line of the texts, the text of each line, and each line's length.  Counts are sums over places
     that depend on at most ``EDGE`` characters before and after, which is what lets pieces be joined."""
-    lowered = [low if len(low := t.lower()) == len(t) else t for t in texts]
     cp, start = tv.code_points(texts)
-    low, _ = tv.code_points(lowered)
+    low = tv.lower_table()[cp]
     code = _codes()[cp]
     new = code == NEWLINE
     line = np.cumsum(new) - new
@@ -158,81 +159,97 @@ def _line_totals(v: np.ndarray, kind: np.ndarray, stopped: np.ndarray, length: n
     return out
 
 
-def text_totals(texts: list[str], common: np.ndarray) -> np.ndarray:
-    """Totals of whole texts, one row each."""
+@dataclass
+class Lines:
+    """Every line of some texts: counts, length, ends, what it adds to its text when finished, and each text's first and
+    last line."""
+
+    v: np.ndarray
+    length: np.ndarray
+    head: list[str]
+    tail: list[str]
+    totals: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+
+
+def _lines(texts: list[str], common: np.ndarray) -> Lines:
     v, owner, length = line_counts(texts, common)
     lines = [x for t in texts for x in re.split("[\n\0]", t)]
     head, tail = [x[:EDGE] for x in lines], [x[-EDGE:] for x in lines]
     totals = _line_totals(v, line_kinds(v, head, tail, length), _ends_stopped(tail), length)
-    first = np.searchsorted(owner, np.arange(len(texts)))
-    return np.add.reduceat(totals, first, axis=0) if len(texts) else np.zeros((0, TOTAL))
+    every = np.arange(len(texts))
+    return Lines(v, length, head, tail, totals, np.searchsorted(owner, every), np.searchsorted(owner, every, "right") - 1)
+
+
+def text_totals(texts: list[str], common: np.ndarray) -> np.ndarray:
+    """Totals of whole texts, one row each: all lines are finished."""
+    if not texts:
+        return np.zeros((0, TOTAL))
+    x = _lines(texts, common)
+    return np.add.reduceat(x.totals, x.first, axis=0)
 
 
 # State of a piece: totals of its complete lines, then its open lines: the first, and the last if there is another.
 # An open line is its counts, its length and its two ends.
 
 
-def piece_state(text: str, common: np.ndarray) -> dict:
-    v, _, length = line_counts([text], common)
-    lines = re.split("[\n\0]", text)
-    body = np.zeros(TOTAL)
-    if len(lines) > 2:
-        inner = slice(1, len(lines) - 1)
-        head, tail = [x[:EDGE] for x in lines[inner]], [x[-EDGE:] for x in lines[inner]]
-        body = _line_totals(v[inner], line_kinds(v[inner], head, tail, length[inner]), _ends_stopped(tail), length[inner]).sum(axis=0)
-    ends = [0] if len(lines) == 1 else [0, len(lines) - 1]
-    return {"body": body.tolist(), "open": [{"v": v[k].tolist(), "n": int(length[k]), "head": lines[k][:EDGE], "tail": lines[k][-EDGE:]} for k in ends]}
+def piece_states(texts: list[str], common: np.ndarray) -> list[dict]:
+    """States of pieces: the same lines as in ``text_totals``, of which the first and the last stay open."""
+    if not texts:
+        return []
+    x = _lines(texts, common)
+    inner = x.totals.copy()
+    inner[x.first] = inner[x.last] = 0
+    body = np.add.reduceat(inner, x.first, axis=0)
+    line = lambda k: {"v": x.v[k], "n": int(x.length[k]), "head": x.head[k], "tail": x.tail[k]}
+    return [{"body": b, "open": [line(i)] if i == j else [line(i), line(j)]} for b, i, j in zip(body, x.first, x.last, strict=True)]
 
 
 def _join_lines(a: dict, b: dict, common: np.ndarray) -> dict:
     """One line from two neighbouring fragments; places near the seam are counted over."""
-    strip = lambda s: line_counts([s], common)[0][0] if s else np.zeros(WIDTH)
     left, right = a["tail"], b["head"]
-    v = np.array(a["v"]) + np.array(b["v"]) + strip(left + right) - strip(left) - strip(right)
-    return {"v": v.tolist(), "n": a["n"] + b["n"], "head": (a["head"] + right)[:EDGE] if a["n"] < EDGE else a["head"], "tail": (left + b["tail"])[-EDGE:] if b["n"] < EDGE else b["tail"]}
+    both, one, other = line_counts([left + right, left, right], common)[0]
+    return {
+        "v": a["v"] + b["v"] + both - one - other,
+        "n": a["n"] + b["n"],
+        "head": (a["head"] + right)[:EDGE] if a["n"] < EDGE else a["head"],
+        "tail": (left + b["tail"])[-EDGE:] if b["n"] < EDGE else b["tail"],
+    }
 
 
 def _finish(line: dict) -> np.ndarray:
-    v, n = np.array([line["v"]]), np.array([line["n"]])
+    v, n = line["v"][None], np.array([line["n"]])
     return _line_totals(v, line_kinds(v, [line["head"]], [line["tail"]], n), _ends_stopped([line["tail"]]), n)[0]
 
 
-def merge_states(states: list[dict], common: np.ndarray) -> dict:
-    """State of neighbouring pieces as one piece; associative."""
-    out = states[0]
-    for s in states[1:]:
-        seam = _join_lines(out["open"][-1], s["open"][0], common)
-        body = np.array(out["body"]) + np.array(s["body"])
-        if len(out["open"]) == 2 and len(s["open"]) == 2:
-            body = body + _finish(seam)
-            lines = [out["open"][0], s["open"][1]]
-        elif len(out["open"]) == 2:
-            lines = [out["open"][0], seam]
-        elif len(s["open"]) == 2:
-            lines = [seam, s["open"][1]]
-        else:
-            lines = [seam]
-        out = {"body": body.tolist(), "open": lines}
-    return out
+def merge_states(out: dict, s: dict, common: np.ndarray) -> dict:
+    """State of two neighbouring pieces as one piece; associative."""
+    seam = _join_lines(out["open"][-1], s["open"][0], common)
+    body = out["body"] + s["body"]
+    if len(out["open"]) == 2 and len(s["open"]) == 2:
+        body = body + _finish(seam)
+    return {"body": body, "open": [*out["open"][:-1], seam, *s["open"][1:]] if len(out["open"]) + len(s["open"]) < 4 else [out["open"][0], s["open"][1]]}
 
 
 def finish_state(state: dict) -> np.ndarray:
-    return np.array(state["body"]) + sum(_finish(x) for x in state["open"])
+    return state["body"] + sum(_finish(x) for x in state["open"])
 
 
 _STATE = "id string, piece long, body array<double>, open array<struct<v:array<double>,n:long,head:string,tail:string>>"
 
 
 def _state_rows(rows: list[tuple[str, int, dict]]) -> pd.DataFrame:
-    return pd.DataFrame([{"id": i, "piece": p, "body": s["body"], "open": s["open"]} for i, p, s in rows], columns=["id", "piece", "body", "open"])
+    return pd.DataFrame([{"id": i, "piece": p, "body": s["body"], "open": [{**x, "v": x["v"].tolist()} for x in s["open"]]} for i, p, s in rows], columns=["id", "piece", "body", "open"])
 
 
-def _plain(f: pd.DataFrame) -> list[dict]:
-    return [{"body": list(b), "open": [{"v": list(x["v"]), "n": int(x["n"]), "head": x["head"], "tail": x["tail"]} for x in o]} for b, o in zip(f["body"], f["open"], strict=True)]
+def _states(f: pd.DataFrame) -> Iterator[tuple[str, int, dict]]:
+    for i, p, b, o in zip(f["id"], f["piece"], f["body"], f["open"], strict=True):
+        yield i, int(p), {"body": np.array(b), "open": [{"v": np.array(x["v"]), "n": int(x["n"]), "head": x["head"], "tail": x["tail"]} for x in o]}
 
 
 def totals(records: DataFrame, common_words: list[str], piece: int = PIECE, fan: int = FAN) -> DataFrame:
-    """(id, t): vector of totals of each text."""
+    """(id, t): vector of totals of each text; repeated rows of an id may give repeated rows."""
     common = word_hashes(common_words)
 
     def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -241,30 +258,54 @@ def totals(records: DataFrame, common_words: list[str], piece: int = PIECE, fan:
             for part in tv.blocks(texts, tv.BLOCK_CHARS // 2):
                 yield pd.DataFrame({"id": f["id"].to_numpy()[part], "t": list(text_totals(texts[part], common))})
 
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        many = max(1, tv.BLOCK_CHARS // piece)
+        for f in frames:
+            for i, t in zip(f["id"], f["text"], strict=True):
+                for at in range(0, -(-len(t) // piece), many):
+                    some = range(at, min(at + many, -(-len(t) // piece)))
+                    yield pd.DataFrame({"id": i, "piece": list(some), "text": [t[k * piece : (k + 1) * piece] for k in some]})
+
     def begin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield _state_rows([(i, int(p), piece_state(t, common)) for i, p, t in zip(f["id"], f["piece"], f["text"], strict=True)])
+            texts = f["text"].tolist()
+            for part in tv.blocks(texts, tv.BLOCK_CHARS // 2):
+                yield _state_rows(list(zip(f["id"].iloc[part], f["piece"].iloc[part], piece_states(texts[part], common), strict=True)))
 
-    def join(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        return _state_rows([(key[0], int(key[1]), merge_states(_plain(f.sort_values("piece")), common))])
+    def join(frames: Iterator[pd.DataFrame], level: int) -> Iterator[pd.DataFrame]:
+        """Neighbours come one after another; a task holds one merged state and the rows it has done."""
+        done: list[tuple[str, int, dict]] = []
+        key: tuple | None = None
+        last, state = -1, {}
+        for f in frames:
+            for i, p, s in _states(f):
+                if key == (i, p // level):
+                    if p != last:  # else the piece of a repeated row
+                        state = merge_states(state, s, common)
+                else:
+                    if key is not None:
+                        done.append((*key, state))
+                    key, state = (i, p // level), s
+                last = p
+            if len(done) >= 256:
+                yield _state_rows(done)
+                done = []
+        if key is not None:
+            done.append((*key, state))
+        yield _state_rows(done)
 
     def end(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"id": f["id"], "t": [finish_state(s) for s in _plain(f)]})
+            yield pd.DataFrame([(i, finish_state(s)) for i, _, s in _states(f)], columns=["id", "t"])
 
     records = records.select("id", "text")
     short = records.where(F.length("text") <= piece).mapInPandas(whole, "id string, t array<double>")
-    long = records.where(F.length("text") > piece).dropDuplicates(["id"])
-    longest = long.agg(F.max(F.length("text"))).first()[0]
-    if longest is None:
-        return short
-    many = F.expr(f"explode(sequence(0L, cast(ceil(length(text) / {piece}) - 1 as long)))")
-    states = long.select("id", "text", many.alias("piece")).select("id", "piece", F.substring(F.col("text"), (F.col("piece") * piece + 1).cast("int"), F.lit(piece)).alias("text")).repartition("id", "piece").mapInPandas(begin, _STATE)
-    left = -(-longest // piece)
-    while left > 1:
-        states = states.groupBy("id", F.expr(f"piece div {fan}").alias("piece")).applyInPandas(join, _STATE)
-        left = -(-left // fan)
-    return short.unionByName(states.mapInPandas(end, "id string, t array<double>"))
+    pieces = records.where(F.length("text") > piece).mapInPandas(cut, "id string, piece long, text string")
+    states = pieces.repartition("id", "piece").mapInPandas(begin, _STATE)
+    groups = states.repartition("id", F.expr(f"piece div {fan}")).sortWithinPartitions("id", "piece").mapInPandas(lambda x: join(x, fan), _STATE)
+    # A string holds less than 2**31 characters, so a text has at most 2**31 / (piece * fan) groups, folded one by one.
+    long = groups.repartition("id").sortWithinPartitions("id", "piece").mapInPandas(lambda x: join(x, 1 << 62), _STATE)
+    return short.unionByName(long.mapInPandas(end, "id string, t array<double>"))
 
 
 def _at(k: int):  # type: ignore[no-untyped-def]
@@ -279,8 +320,64 @@ def _ratio(a, b):  # type: ignore[no-untyped-def]
     return F.when(b > 0, a / b).otherwise(0.0)
 
 
-def statistics(records: DataFrame, common_words: list[str], piece: int = PIECE, fan: int = FAN) -> DataFrame:
+@dataclass(frozen=True)
+class Rules:
+    """Thresholds of the rules on a text's ratios.  README has how many kinds change when each is moved."""
+
+    #: Cells: words a line at most, lines with figures at least, lines at least.
+    cell_words: float = 2.3
+    cell_digits: float = 0.2
+    cell_lines: float = 6
+    #: Natural text: share of common words, or of ideographs.
+    natural_common: float = 0.12
+    natural_cjk: float = 0.25
+    #: Junk: encoded runs, broken encodings, lines of a few marks, marks, few letters and digits.
+    encoded: float = 0.3
+    broken: float = 0.12
+    bits: float = 0.75
+    symbols: float = 0.3
+    readable: float = 0.6
+    #: Word loops: words at least, share of the six commonest stems, words a line, common words at most.
+    loop_words: float = 12
+    loop_share: float = 0.85
+    loop_line: float = 6
+    loop_common: float = 0.25
+    #: Letter noise: letters at least, share of vowels and of common words at most.
+    noise_letters: float = 40
+    noise_vowels: float = 0.29
+    noise_common: float = 0.06
+
+
+def kind_of(r: Rules):  # type: ignore[no-untyped-def]
+    """The kind by the rules, as a column over the ratios."""
+    c = F.col
+    cells = (c("plain_words") <= r.cell_words) & (c("plain_digits") >= r.cell_digits) & (c("plain_lines") >= r.cell_lines)
+    natural = ((c("plain_common") >= r.natural_common) & ~cells) | ((c("cjk") >= r.natural_cjk) & (c("cjk_points") >= 1))
+    mostly_plain = c("plain") >= 0.5 * c("solid")
+    loop = (c("alpha") >= r.loop_words) & (c("loop") >= r.loop_share) & (c("plain_words") >= r.loop_line) & (c("cjk") < r.natural_cjk) & (c("common_word_share") < r.loop_common)
+    noise = (c("lower") >= r.noise_letters) & (c("vowels") < r.noise_vowels) & (c("common_word_share") < r.noise_common)
+    junk = (
+        (c("encoded") > r.encoded)
+        | (c("broken") > r.broken)
+        | ((c("bits") > r.bits) & (c("table_share") + c("list_share") < 0.5))
+        | ((c("symbol_ratio") > r.symbols) & (c("readable") < r.readable))
+        | ((loop | noise) & mostly_plain)
+    )
+    list_chars = c("list_share") * c("solid") + F.when(~natural & ~cells, c("plain")).otherwise(0)
+    table_chars = c("table_share") * c("solid") + F.when(~natural & cells, c("plain")).otherwise(0)
+    return F.when(c("solid") == 0, "prose").when(junk, "junk").when(natural & mostly_plain, "prose").when(list_chars >= table_chars, "list").otherwise("table")
+
+
+NAMES = ("n_chars", "n_words", "n_common", "n_lines", "mean_word_length", "symbol_ratio", "digit_ratio", "stopped_line_share", "common_word_share", "list_share", "table_share")
+
+
+def statistics(records: DataFrame, common_words: list[str], piece: int = PIECE, fan: int = FAN, rules: Rules = Rules()) -> DataFrame:
     """(id, counts and ratios, kind): one row per id with a text."""
+    return ratios(records, common_words, piece, fan).withColumn("kind", kind_of(rules)).select("id", *NAMES, "kind").dropDuplicates(["id"])
+
+
+def ratios(records: DataFrame, common_words: list[str], piece: int = PIECE, fan: int = FAN) -> DataFrame:
+    """(id, counts, ratios and what the rules ask for besides)."""
     records = records.where(F.col("id").isNotNull() & F.col("text").isNotNull())
     t = totals(records, common_words, piece, fan)
     over = lambda what, *kinds: sum((_of(k, what) for k in kinds[1:]), _of(kinds[0], what))
@@ -292,10 +389,11 @@ def statistics(records: DataFrame, common_words: list[str], piece: int = PIECE,
     stems = F.slice("t", WIDTH - STEMS + 1, STEMS)
     top = F.aggregate(F.slice(F.sort_array(stems, asc=False), 1, 6), F.lit(0.0), lambda a, x: a + x)
     symbols = _at(OTHER) + _at(SEMI) + _at(BROKEN) + _at(PIPE)
-    t = t.select(
+    return t.select(
         "id",
         (sum((_at(k) for k in range(CODES)), F.lit(0)) + over("lines", BLANK, *every) - 1).cast("long").alias("n_chars"),
         words.cast("long").alias("n_words"),
+        _at(COMMON).cast("long").alias("n_common"),
         (over("lines", *every)).cast("long").alias("n_lines"),
         F.round(_ratio(lower + _at(UPPER) + _at(DIGIT) + _at(CJK), words), 6).alias("mean_word_length"),
         F.round(_ratio(symbols, solid), 6).alias("symbol_ratio"),
@@ -321,27 +419,6 @@ def statistics(records: DataFrame, common_words: list[str], piece: int = PIECE,
         _ratio(_at(VOWEL), lower).alias("vowels"),
         _ratio(lower + _at(UPPER) + _at(DIGIT) + _at(CJK), solid).alias("readable"),
     )
-    cells = (F.col("plain_words") <= 2.3) & (F.col("plain_digits") >= 0.2) & (F.col("plain_lines") >= 6)
-    natural = ((F.col("plain_common") >= 0.12) & ~cells) | ((F.col("cjk") >= 0.25) & (F.col("cjk_points") >= 1))
-    junk = (
-        (F.col("encoded") > 0.3)
-        | (F.col("broken") > 0.12)
-        | ((F.col("bits") > 0.75) & (F.col("table_share") + F.col("list_share") < 0.5))
-        | ((F.col("symbol_ratio") > 0.3) & (F.col("readable") < 0.6))
-        | ((F.col("alpha") >= 12) & (F.col("loop") >= 0.85) & (F.col("plain_words") >= 6) & (F.col("cjk") < 0.25) & (F.col("common_word_share") < 0.25) & (F.col("plain") >= 0.5 * F.col("solid")))
-        | ((F.col("lower") >= 40) & (F.col("vowels") < 0.29) & (F.col("common_word_share") < 0.06) & (F.col("plain") >= 0.5 * F.col("solid")))
-    )
-    list_chars = F.col("list_share") * F.col("solid") + F.when(~natural & ~cells, F.col("plain")).otherwise(0)
-    table_chars = F.col("table_share") * F.col("solid") + F.when(~natural & cells, F.col("plain")).otherwise(0)
-    kind = (
-        F.when(F.col("solid") == 0, "prose")
-        .when(junk, "junk")
-        .when(natural & (F.col("plain") >= 0.5 * F.col("solid")), "prose")
-        .when(list_chars >= table_chars, "list")
-        .otherwise("table")
-    )
-    names = ("n_chars", "n_words", "n_lines", "mean_word_length", "symbol_ratio", "digit_ratio", "stopped_line_share", "common_word_share", "list_share", "table_share")
-    return t.withColumn("kind", kind).select("id", *names, "kind").dropDuplicates(["id"])
 
 
 def common_words(spark: SparkSession, sf_dir: str) -> list[str]:
@@ -360,3 +437,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics(chunk_texts(spark, sf_dir), common_words(spark, sf_dir))
+
+
+def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain counts of every chunk: characters, words, frequent words and lines that are not blank."""
+    return statistics(chunk_texts(spark, sf_dir), common_words(spark, sf_dir)).select("id", "n_chars", "n_words", "n_common", "n_lines")

@@ -13,6 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_repaired": scans.p1_repaired,
     "p2_found": quality.p2_found,
     "p2_statistics": quality.p2_statistics,
+    "p2_counts": quality.p2_counts,
     "p3_found": spans.p3_found,
     "p3_shared": spans.p3_shared,
     "p4_found": neardup.p4_found,
@@ -39,6 +40,14 @@ _RUNS = "list_transform(range(1, len({0}) - {1} + 2), lambda k: array_to_string(
 
 #: SQL twins, where SQL can say the whole result on the whole tables.
 ORACLE: dict[str, str] = {
+    "p2_counts": rf"""WITH {_TEXTS},
+u AS (SELECT DISTINCT id, text FROM t),
+w AS (SELECT id, unnest({_WORDS.format("text")}) AS word FROM u),
+c AS (SELECT DISTINCT unnest({_WORDS.format("word")}) AS word FROM common_words WHERE word IS NOT NULL),
+n AS (SELECT w.id, count(*) AS n_words, count(c.word) AS n_common FROM w LEFT JOIN c ON c.word = w.word GROUP BY w.id)
+SELECT u.id, CAST(length(text) AS BIGINT) AS n_chars, coalesce(n_words, 0) AS n_words, coalesce(n_common, 0) AS n_common,
+CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\s\x0B\x{{A0}}\x{{2003}}\x{{2009}}\x{{202F}}\x{{3000}}]'))) AS BIGINT) AS n_lines
+FROM u LEFT JOIN n ON n.id = u.id""",
     "p3_found": f"WITH {_SPANS} SELECT DISTINCT id FROM m",
     "p3_shared": f"""WITH {_SPANS},
 c AS (SELECT id, CAST(sum(least(200, coalesce(next - s, 200))) AS BIGINT) AS shared_chars, CAST(count(*) FILTER (last IS NULL OR s - last > 200) AS BIGINT) AS n_spans FROM m GROUP BY id)

@@ -47,6 +47,14 @@ def word_table() -> np.ndarray:
     return _cache["word"]
 
 
+def lower_table() -> np.ndarray:
+    """Lower case of every code point, one for one: a text's lower case has the text's length, wherever it is cut."""
+    if "lower" not in _cache:
+        low = (chr(c).lower() for c in range(0x110000))
+        _cache["lower"] = np.fromiter((ord(x[0]) for x in low), np.uint32, 0x110000)
+    return _cache["lower"]
+
+
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts, one NUL between texts, and where each text starts (one more for the end)."""
     starts = np.zeros(len(texts) + 1, np.int64)
@@ -90,7 +98,8 @@ class Words:
 
 
 def words(texts: list[str]) -> Words:
-    cp, text_start = code_points([t.lower() for t in texts])
+    cp, text_start = code_points(texts)
+    cp = lower_table()[cp]
     inside = word_table()[cp]
     edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0))
     start, end = edge[0::2], edge[1::2]

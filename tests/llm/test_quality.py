@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import random
+import time
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -45,13 +47,35 @@ def test_counts(kinds):
 @pytest.mark.parametrize("size", [3, 17, 64, 200])
 def test_pieces_give_the_whole(size):
     rng = random.Random(size)
-    common = q.word_hashes(COMMON)
+    common = q.word_hashes([*COMMON, "iσ"])
     for _ in range(40):
-        t = "".join(rng.choice(["the ", "relay", "\n", "a", "  ", "\t", "| ", "12", ";", ",x", ".", "é", "联锁", "- ", "x" * 40]) for _ in range(rng.randrange(1, 90)))
-        states = [q.piece_state(t[k : k + size], common) for k in range(0, len(t), size)]
+        t = "".join(rng.choice(["the ", "relay", "\n", "a", "  ", "\t", "| ", "12", ";", ",x", ".", "é", "联锁", "- ", "x" * 40, "İ", "ΙΣ ", "İΣ", "THE "]) for _ in range(rng.randrange(1, 90)))
+        states = q.piece_states([t[k : k + size] for k in range(0, len(t), size)], common)
         mid = len(states) // 2 or 1
-        tree = [q.merge_states(x, common) for x in (states[:mid], states[mid:]) if x]
-        assert np.allclose(q.finish_state(q.merge_states(tree, common)), q.text_totals([t], common)[0])
+        halves = [reduce(lambda a, b: q.merge_states(a, b, common), x) for x in (states[:mid], states[mid:]) if x]
+        assert np.allclose(q.finish_state(reduce(lambda a, b: q.merge_states(a, b, common), halves)), q.text_totals([t], common)[0])
+
+
+def test_lower_case_is_one_for_one(spark):
+    """A letter whose lower case has two characters changes nothing around it, whole or in pieces."""
+    t = "The relay of THE hut was in the log.\n" * 40
+    df = spark.createDataFrame([("plain", t), ("dotted", t + "İ"), ("inside", "İ " + t[:296] + "İİ " + t[296:])], "id string, text string")
+    for piece in (1 << 20, 300, 37):
+        counts = {r.id: r.n_common for r in q.statistics(df, COMMON, piece=piece).collect()}
+        assert set(counts.values()) == {6 * 40}
+
+
+def test_long_texts_take_linear_time():
+    """Cutting a text costs the same for each of its characters, however long it is."""
+    def seconds(n):
+        t = "The relay was in the log of a hut.\n" * (n // 35)
+        began = time.perf_counter()
+        assert sum(1 for k in range(0, len(t), q.PIECE) if t[k : k + q.PIECE]) == -(-len(t) // q.PIECE)
+        q.piece_states([t[k : k + q.PIECE] for k in range(0, len(t), q.PIECE)][:: max(1, n // 2_000_000)], q.word_hashes(COMMON))
+        return time.perf_counter() - began
+
+    seconds(2_000_000)
+    assert seconds(16_000_000) < 4 * max(seconds(2_000_000), 0.2)
 
 
 def test_huge_documents_go_through_the_tree(spark):
