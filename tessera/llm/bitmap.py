@@ -1,7 +1,8 @@
-"""Fixed-size membership bitmaps: a size-proven broadcast that thins rows before an exact join.
+"""Membership bitmaps of bounded size: a broadcast that thins rows before an exact join.
 
 A bitmap never replaces the join: it has false positives and no false negatives, and when the key set outgrows it, it
-only thins less.  Its size is a constant, whatever the data.
+only thins less.  Its size follows the counted keys, 16 bits a key, between 128 KB and ``2**MOST`` bits (16 MB), so up to
+8 million keys at most one row in 16 passes by chance; beyond 134 million keys it hardly thins.
 """
 
 from __future__ import annotations
@@ -10,12 +11,19 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: log2 of the number of bits: 16.8 million bits, 2 MB.
-BITS = 24
+#: log2 of the number of bits, at least and at most.
+LEAST, MOST = 20, 27
 
 
-def build(keys: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
-    """Bitmap of a 64-bit column: bits are OR-ed per 64-bit slot in Spark, so at most 2**(bits-6) rows reach the driver."""
+def size_for(n: int) -> int:
+    """log2 of the bits for n keys."""
+    return min(max((16 * max(n, 1) - 1).bit_length(), LEAST), MOST)
+
+
+def build(keys: DataFrame, column: str) -> np.ndarray:
+    """Bitmap of a 64-bit column of a stored table: bits are OR-ed per 64-bit slot in Spark, so at most 2**(MOST-6) rows,
+    two million, reach the driver."""
+    bits = size_for(keys.count())
     slot = F.pmod(F.col(column), F.lit(1 << bits))
     rows = (
         keys.where(F.col(column).isNotNull())

@@ -1,23 +1,28 @@
 """Problem 3: long exact spans shared between records of different documents.
 
 Every text of at least ``SPAN`` characters is winnowed: of the hashes of its 100-character windows, the least in each
-101 consecutive ones is kept, so any common span of 200 characters holds at least one kept hash in both texts.  The
-kept hashes form a log-structured index: each batch becomes an immutable run, bucketed and sorted by hash; a new run is
-merge-joined with the historical runs without another shuffle, hits are verified on the text around them, and runs are
-compacted into one when there are too many.
+101 consecutive ones is kept, so any common span of 200 characters holds at least one kept hash, at the same place of the
+span, in both texts.  The kept hashes form a log-structured index: a batch becomes an immutable run, one row a hash with
+the least and the greatest document that holds it, bucketed and sorted by hash; each new run is merge-joined with the
+historical runs, which tells the hashes that stand in more than one document; runs are compacted into one when there are
+too many.  The texts around the hits are then compared character by character.
 
 Null texts, ids or doc_ids take no part; texts shorter than the span share nothing; repeated rows of one id count once;
-columns other than id, doc_id and text are ignored.
+columns other than id, doc_id and text are ignored.  A run has a row a hash however often it stands, as hashes are
+aggregated before they are shuffled, so a passage that a third of all records hold makes no large bucket.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,8 +67,12 @@ def winnow(texts: list[str], window: int = WINDOW, span: int = SPAN) -> tuple[np
     return h[kept], owner[kept], kept - start[owner[kept]]
 
 
-def window_hashes(records: DataFrame, window: int = WINDOW, span: int = SPAN) -> DataFrame:
-    """(h, did, cid, p): winnowed hashes of every text, with hashes of doc_id and id and the position in the text."""
+_OCCURRENCES = "batch int, h long, did long, cid long, p int"
+
+
+def window_hashes(records: DataFrame, batches: int = 1, window: int = WINDOW, span: int = SPAN) -> DataFrame:
+    """(batch, h, did, cid, p): winnowed hashes of every text, with hashes of doc_id and id and the position in the text.
+    A document belongs to one batch whole."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -71,86 +80,128 @@ def window_hashes(records: DataFrame, window: int = WINDOW, span: int = SPAN) ->
             for part in tv.blocks(texts):
                 h, owner, p = winnow(texts[part], window, span)
                 at = part.start + owner
-                yield pd.DataFrame({"h": h.view(np.int64), "did": f["did"].to_numpy()[at], "cid": f["cid"].to_numpy()[at], "p": p.astype(np.int32)})
+                yield pd.DataFrame({**{c: f[c].to_numpy()[at] for c in ("batch", "did", "cid")}, "h": h.view(np.int64), "p": p.astype(np.int32)})
+
+    did = F.xxhash64("doc_id")
+    keyed = records.where(F.length("text") >= span).select(F.pmod(did, F.lit(batches)).cast("int").alias("batch"), did.alias("did"), F.xxhash64("id").alias("cid"), "text")
+    return keyed.mapInPandas(run, _OCCURRENCES)
 
-    keyed = records.where(F.length("text") >= span).select(F.xxhash64("doc_id").alias("did"), F.xxhash64("id").alias("cid"), "text")
-    return keyed.mapInPandas(run, "h long, did long, cid long, p int")
+
+_RUN = "h BIGINT, lo BIGINT, hi BIGINT"
 
 
 @dataclass
 class SpanIndex:
-    """Log-structured index of window hashes: immutable runs, bucketed and sorted by hash, in the shared folder."""
+    """Log-structured index of window hashes: immutable runs (h, lo, hi), bucketed and sorted by h, under ``root``.
+
+    What runs are live is itself a table under ``root``, to which each change appends a row, so a later session that
+    opens the same root goes on where this one ended.
+    """
 
     spark: SparkSession
-    window: int = WINDOW
-    span: int = SPAN
+    root: str
     max_runs: int = MAX_RUNS
-    runs: list[str] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        self.root = work_dir(self.spark)
+        self.serial, self.runs = 0, []
         self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions", "200"))
-        self.serial = 0
+        self.label = hashlib.md5(self.root.encode()).hexdigest()[:12]
+        try:
+            states = self.spark.read.parquet(f"{self.root}/states")
+        except AnalysisException:  # a new index
+            return
+        last = states.orderBy(F.desc("serial")).first()
+        self.serial, self.runs, self.buckets = last.serial, list(last.runs), last.buckets
+        for name in self.runs:
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({_RUN}) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {self.buckets} BUCKETS LOCATION '{self.root}/{name}'")
 
     def _write(self, rows: DataFrame) -> str:
-        self.serial += 1
-        name = f"run_{self.root[-12:]}_{self.serial}"
-        (
-            rows.repartition(self.buckets, "h")
-            .write.bucketBy(self.buckets, "h")
-            .sortBy("h")
-            .option("path", f"{self.root}/{name}")
-            .option("compression", "lz4")
-            .format("parquet")
-            .saveAsTable(name)
-        )
+        """Hashes of the rows as a run; rows are aggregated before the shuffle, which leaves them as the buckets want them."""
+        name = f"run_{self.label}_{self.serial + 1}_{uuid.uuid4().hex[:6]}"
+        run = rows.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        run.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.root}/{name}").option("compression", "lz4").format("parquet").saveAsTable(name)
         return name
 
-    def add(self, records: DataFrame) -> None:
-        """Append a batch as a new run; compact when there are more than ``max_runs``."""
-        self.runs.append(self._write(window_hashes(records, self.window, self.span)))
+    def _publish(self, runs: list[str]) -> None:
+        self.serial, self.runs = self.serial + 1, runs
+        self.spark.createDataFrame([(self.serial, runs, self.buckets)], "serial int, runs array<string>, buckets int").coalesce(1).write.mode("append").parquet(f"{self.root}/states")
+
+    def add(self, occurrences: DataFrame) -> DataFrame:
+        """Index a batch (h, did) and give, as a stored table, its hashes (h) that stand in more than one document of the
+        batch and of all batches before; compact when there are more than ``max_runs`` runs."""
+        name = self._write(occurrences.select("h", F.col("did").alias("lo"), F.col("did").alias("hi")))
+        met = self.spark.table(name)
+        lo, hi = [F.col("lo")], [F.col("hi")]
+        for k, r in enumerate(self.runs):
+            old = self.spark.table(r).select("h", F.col("lo").alias(f"lo{k}"), F.col("hi").alias(f"hi{k}"))
+            met = met.join(old.hint("merge"), "h", "left")
+            lo.append(F.col(f"lo{k}"))
+            hi.append(F.col(f"hi{k}"))
+        least, most = (F.least(*lo), F.greatest(*hi)) if len(lo) > 1 else (lo[0], hi[0])
+        shared = stored(met.where(least != most).select("h"))
+        self._publish([*self.runs, name])
         if len(self.runs) > self.max_runs:
             self.compact()
+        return shared
 
     def compact(self) -> None:
-        """Merge all runs into one, each occurrence once."""
-        merged = reduce(DataFrame.unionByName, [self.spark.table(r) for r in self.runs]).dropDuplicates(["h", "cid", "p"])
-        self.runs = [self._write(merged)]
+        """One run in the place of all; the old ones' files stay until the folder is cleared."""
+        self._publish([self._write(reduce(DataFrame.unionByName, [self.spark.table(r) for r in self.runs]))])
 
     def close(self) -> None:
-        """Forget the tables; their files stay in the shared folder until that is cleared."""
-        for r in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {r}")
-
-    def hits(self, runs: list[str] | None = None) -> DataFrame:
-        """(h, n, cid, did, p): occurrences in ``runs`` (default all) whose hash stands in more than one document of the
-        whole index.  Every run is bucketed by h, so the merge joins need no exchange of hashes."""
-        ends = [self.spark.table(r).groupBy("h").agg(F.min("did").alias(f"lo{k}"), F.max("did").alias(f"hi{k}"), F.count("*").alias(f"n{k}")) for k, r in enumerate(self.runs)]
-        lo, hi = [f"lo{k}" for k in range(len(ends))], [f"hi{k}" for k in range(len(ends))]
-        least, most = (F.least(*lo), F.greatest(*hi)) if len(ends) > 1 else (F.col("lo0"), F.col("hi0"))
-        total = reduce(lambda a, b: a + b, [F.coalesce(F.col(f"n{k}"), F.lit(0)) for k in range(len(ends))])
-        out = []
-        for r in runs or self.runs:
-            own = reduce(lambda a, b: a.join(b.hint("merge"), "h", "left"), ends, self.spark.table(r))
-            out.append(own.where(least != most).select("h", total.alias("n"), "cid", "did", "p"))
-        return reduce(DataFrame.unionByName, out)
-
-
-def _covered(h: np.ndarray, shift: np.ndarray, length: np.ndarray, did: np.ndarray, texts: list[str], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of ``span`` characters in the contexts that another document of the same group holds: row, start, end."""
+        """Take the runs out of the session's catalogue."""
+        for t in self.spark.catalog.listTables(pattern=f"run_{self.label}_*"):
+            self.spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+
+
+def _window_groups(key: np.ndarray, did: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows have a key that stands in several documents, and for each window the first one of its key."""
+    order = np.lexsort((did, key))
+    k, d = key[order], did[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    size = np.diff(np.append(first, len(k)))
+    shared, ref = np.zeros(len(k), bool), np.zeros(len(k), np.int64)
+    shared[order] = np.repeat(d[first] != d[first + size - 1], size)
+    ref[order] = np.repeat(order[first], size)
+    return shared, ref
+
+
+def _equal_windows(cp: np.ndarray, start: np.ndarray, one: np.ndarray, other: np.ndarray, span: int) -> np.ndarray:
+    """Are the ``span`` characters at ``one`` those at ``other``?  Windows of a pair of rows have one distance, so each
+    character of a pair is compared once."""
+    pair = np.stack([np.searchsorted(start, one, side="right"), one - other])
+    order = np.lexsort((one, pair[1], pair[0]))
+    new = np.concatenate([[True], (np.diff(pair[:, order], axis=1) != 0).any(axis=0)])
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(order)) - 1
+    begin, length = one[order[head]], one[order[tail]] + span - one[order[head]]
+    base = np.cumsum(length) - length
+    at = np.arange(int(length.sum())) + np.repeat(begin - base, length)
+    same = np.concatenate([[0], np.cumsum(cp[at] == cp[at - np.repeat(pair[1][order[head]], length)])])
+    where = one[order] + (base - begin)[np.cumsum(new) - 1]
+    out = np.zeros(len(one), bool)
+    out[order] = same[where + span] - same[where] == span
+    return out
+
+
+def _covered(h: np.ndarray, lo: np.ndarray, off: np.ndarray, did: np.ndarray, texts: list[str], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of ``span`` characters in the contexts that another document's context of the same hash holds at the same
+    distance from the hit: row, start, end.  ``lo`` is where a context starts in its text, ``off`` where the hit is in it."""
     cp, start = tv.code_points(texts)
-    many = np.maximum(length - span + 1, 0)
+    many = np.maximum(np.diff(start) - span, 0)
     row = np.repeat(np.arange(len(texts)), many)
     at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-    w = tv.span_hash(tv.prefix_hash(cp), start[row] + at, start[row] + at + span) ^ tv.mix(h.view(np.uint64)[row])
-    order = np.lexsort((did[row], w))
-    ws, ds = w[order], did[row][order]
-    first = np.flatnonzero(np.concatenate([[True], ws[1:] != ws[:-1]])) if len(ws) else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, len(ws)))
-    shared = np.zeros(len(ws), bool)
-    if len(ws):
-        shared[order] = np.repeat(ds[first] != ds[first + size - 1], size)
-    row, at = row[shared], at[shared] + shift[row[shared]]
+    if not len(row):
+        return row, at, at
+    place, align = start[row] + at, at - off[row]
+    key = tv.span_hash(tv.prefix_hash(cp), place, place + span) ^ tv.mix(h.view(np.uint64)[row] + tv.mix(align.astype(np.uint64)))
+    shared, ref = _window_groups(key, did[row])
+    if shared.any() and not _equal_windows(cp, start, place[shared], place[ref[shared]], span).all():
+        # Two windows hash alike without being alike: number the windows by their characters.
+        number: dict[tuple, int] = {}
+        key = np.fromiter((number.setdefault((int(h[r]), int(a), texts[r][k : k + span]), len(number)) for r, a, k in zip(row, align, at, strict=True)), np.int64, len(row))
+        shared, _ = _window_groups(key, did[row])
+    row, at = row[shared], at[shared] + lo[row[shared]]
     if not len(row):
         return row, at, at
     cut = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)]))
@@ -159,7 +210,8 @@ def _covered(h: np.ndarray, shift: np.ndarray, length: np.ndarray, did: np.ndarr
 
 
 def _verify(contexts: DataFrame, span: int) -> DataFrame:
-    """(cid, s, e): shared spans found in groups of equal hash, group by group over sorted partitions."""
+    """(cid, did, s, e): shared spans found in groups of equal hash, group by group over sorted partitions.  ``contexts``
+    has cid, did, h, hot, lo, off and ctx."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
@@ -170,9 +222,8 @@ def _verify(contexts: DataFrame, span: int) -> DataFrame:
             for end in [*cuts[1:], len(f)]:
                 if end - begin >= HOT or end == len(f):
                     g = f.iloc[begin:end]
-                    texts = g["ctx"].tolist()
-                    row, s, e = _covered(g["h"].to_numpy(np.int64), g["lo"].to_numpy(np.int64), np.fromiter(map(len, texts), np.int64, len(texts)), g["did"].to_numpy(np.int64), texts, span)
-                    yield pd.DataFrame({"cid": g["cid"].to_numpy()[row], "s": s.astype(np.int32), "e": e.astype(np.int32)})
+                    row, s, e = _covered(*(g[c].to_numpy(np.int64) for c in ("h", "lo", "off", "did")), g["ctx"].tolist(), span)
+                    yield pd.DataFrame({"cid": g["cid"].to_numpy()[row], "did": g["did"].to_numpy()[row], "s": s.astype(np.int32), "e": e.astype(np.int32)})
                     begin = end
 
         for f in frames:
@@ -186,46 +237,71 @@ def _verify(contexts: DataFrame, span: int) -> DataFrame:
         if rest is not None and len(rest):
             yield from emit(rest)
 
-    cold = contexts.where(F.col("n") <= HOT).repartition("h").sortWithinPartitions("h").mapInPandas(run, "cid long, s int, e int")
-
-    # Hot groups: no task holds the group; spans are hashed one by one and counted through a shuffle with partial sums.
-    hot = contexts.where(F.col("n") > HOT)
-    same = hot.groupBy("h", "ctx").agg(F.min("did").alias("lo_did"), F.max("did").alias("hi_did"))
-    pieces = same.where(F.length("ctx") >= span).select("h", "ctx", "lo_did", "hi_did", F.explode(F.expr(f"sequence(0, length(ctx) - {span})")).alias("at"))
-    keyed = pieces.withColumn("w", F.xxhash64("h", F.substring(F.col("ctx"), F.col("at") + 1, F.lit(span))))
-    shared = keyed.groupBy("w").agg(F.min("lo_did").alias("a"), F.max("hi_did").alias("b")).where("a <> b").select("w")
-    marks = keyed.join(shared, "w", "left_semi").groupBy("h", "ctx").agg(F.min("at").alias("from"), F.max("at").alias("to"))
-    spans = hot.join(marks, ["h", "ctx"]).select("cid", (F.col("lo") + F.col("from")).cast("int").alias("s"), (F.col("lo") + F.col("to") + span).cast("int").alias("e"))
+    cold = contexts.where("not hot").repartition("h").sortWithinPartitions("h").mapInPandas(run, "cid long, did long, s int, e int")
+
+    # Hot groups: no task holds the group.  Equal contexts are one, and their windows, as two hashes of 64 bits, are counted
+    # through a shuffle with partial results; of a context only the first and the last shared window matter.
+    both = lambda *c: [F.xxhash64(*c).alias(f"{c[0]}1"), F.xxhash64(F.lit(1), *c).alias(f"{c[0]}2")]
+    hot = contexts.where("hot").select("cid", "did", "h", "lo", "off", "ctx", *both("ctx", "h", "off"))
+    same = hot.groupBy("ctx1", "ctx2", "h", "off", "ctx").agg(F.min("did").alias("a"), F.max("did").alias("b")).where(F.length("ctx") >= span)
+    at = same.select("ctx1", "ctx2", "h", "off", "a", "b", "ctx", F.explode(F.expr(f"sequence(0, length(ctx) - {span})")).alias("at"))
+    windows = at.withColumn("w", F.substring(F.col("ctx"), F.col("at") + 1, F.lit(span))).withColumn("align", F.col("at") - F.col("off")).select("ctx1", "ctx2", "a", "b", "at", *both("w", "h", "align"))
+    shared = windows.groupBy("w1", "w2").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("w1", "w2")
+    marks = windows.join(shared, ["w1", "w2"], "left_semi").groupBy("ctx1", "ctx2").agg(F.min("at").alias("from"), F.max("at").alias("to"))
+    spans = hot.join(marks, ["ctx1", "ctx2"]).select("cid", "did", (F.col("lo") + F.col("from")).cast("int").alias("s"), (F.col("lo") + F.col("to") + span).cast("int").alias("e"))
     return cold.unionByName(spans)
 
 
-def shared_spans(records: DataFrame, batches: int = 2, window: int = WINDOW, span: int = SPAN) -> DataFrame:
+_CONTEXTS = "cid long, did long, id string, n_chars int, h array<long>, lo array<int>, off array<int>, ctx array<string>"
+
+
+def _contexts(records: DataFrame, hits: DataFrame, window: int, span: int) -> DataFrame:
+    """The text around every hit, cut while the text is at hand: a row a record, or several for records of many hits."""
+    wanted = bitmap.build(hits.select("cid"), "cid")
+    around = hits.groupBy("cid", "did").agg(F.collect_set(F.struct("h", "p")).alias("x")).select("cid", "did", F.col("x.h").alias("h"), F.col("x.p").alias("p"))
+    keyed = records.where(F.length("text") >= span).withColumn("cid", F.xxhash64("id")).withColumn("did", F.xxhash64("doc_id"))
+    # The hashes of id and doc_id together name a record; rows of one id hold one text.
+    texts = keyed.where(bitmap.probe(wanted, F.col("cid"))).select("cid", "did", "id", "text").dropDuplicates(["cid", "did"])
+    reach = span - window
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows: list[tuple] = []
+            for cid, did, i, t, h, p in zip(*(f[c] for c in ("cid", "did", "id", "text", "h", "p")), strict=True):
+                for k in range(0, len(p), 512):
+                    some = np.asarray(p[k : k + 512])
+                    lo = np.maximum(some - reach, 0)
+                    rows.append((cid, did, i, len(t), h[k : k + 512], lo, some - lo, [t[a : b + window + reach] for a, b in zip(lo.tolist(), some.tolist(), strict=True)]))
+                if len(rows) >= 512:
+                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in _CONTEXTS.split(", ")])
+                    rows = []
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _CONTEXTS.split(", ")])
+
+    return stored(texts.join(around, ["cid", "did"]).mapInPandas(cut, _CONTEXTS))
+
+
+def shared_spans(records: DataFrame, batches: int = 6, window: int = WINDOW, span: int = SPAN) -> DataFrame:
     """(id, n_chars, shared_chars, share, n_spans): each record with how much of it stands word for word in another document.
 
-    ``records`` has id, doc_id and text.  The records enter the index in ``batches`` batches of whole documents.
+    ``records`` has id, doc_id and text.  They are read and hashed once and enter the index in ``batches`` batches of whole
+    documents; with the default there are enough for the runs to be compacted.
     """
     spark = records.sparkSession
     records = records.where(F.col("id").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("id", "doc_id", "text")
-    index = SpanIndex(spark, window, span)
-    for k in range(batches):
-        index.add(records.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
-    hits = stored(index.hits())
+    folder = work_dir(spark)
+    window_hashes(records, batches, window, span).write.partitionBy("batch").option("compression", "lz4").parquet(f"{folder}/occurrences")
+    occurrences = spark.read.schema(_OCCURRENCES).parquet(f"{folder}/occurrences")
+    index = SpanIndex(spark, f"{folder}/index")
+    found = [index.add(occurrences.where(F.col("batch") == k)) for k in range(batches)]
     index.close()
-
-    wanted = bitmap.build(hits.select("cid"), "cid")
-    around = hits.groupBy("cid").agg(F.collect_set(F.struct("h", "n", "did", "p")).alias("hits"))
-    # Repeated rows of an id hold one text, so the join may repeat contexts; intervals are united per id below.
-    texts = records.where(F.length("text") >= span).withColumn("cid", F.xxhash64("id")).where(bitmap.probe(wanted, F.col("cid"))).select("cid", "id", "text")
-    reach = span - window
-    contexts = (
-        texts.join(around, "cid")
-        .dropDuplicates(["cid"])
-        .select("cid", "id", "text", F.explode("hits").alias("x"))
-        .select("cid", "id", F.length("text").alias("n_chars"), "x.h", "x.n", "x.did", F.greatest(F.col("x.p") - reach, F.lit(0)).alias("lo"), F.col("x.p").alias("p"), "text")
-        .select("cid", "id", "n_chars", "h", "n", "did", "lo", F.substring(F.col("text"), F.col("lo") + 1, F.col("p") + window + reach - F.col("lo")).alias("ctx"))
-    )
-    contexts = stored(contexts)
-    spans = _verify(contexts.select("cid", "h", "n", "did", "lo", "ctx"), span)
+    shared = reduce(DataFrame.unionByName, found).distinct()
+    inside = bitmap.build(reduce(DataFrame.unionByName, found), "h")
+    hits = stored(occurrences.where(bitmap.probe(inside, F.col("h"))).join(shared, "h").select("h", "did", "cid", "p").distinct())
+    many = hits.groupBy("h").count().where(F.col("count") > HOT).select("h", F.lit(True).alias("many"))
+    around = _contexts(records, hits, window, span)
+    each = around.select("cid", "did", F.explode(F.arrays_zip("h", "lo", "off", "ctx")).alias("x")).select("cid", "did", "x.*")
+    each = each.join(many, "h", "left").withColumn("hot", F.coalesce("many", F.lit(False))).drop("many")
+    spans = _verify(each, span)
     # Union of the intervals of a record: sorted by start, an interval adds what lies beyond the furthest end so far.
     merged = F.aggregate(
         F.array_sort(F.collect_set(F.struct("s", "e"))),
@@ -236,9 +312,9 @@ def shared_spans(records: DataFrame, batches: int = 2, window: int = WINDOW, spa
             (acc["spans"] + F.when(x["s"] > acc["end"], 1).otherwise(0)).alias("spans"),
         ),
     )
-    per = spans.groupBy("cid").agg(merged.alias("m"))
-    names = contexts.select("cid", "id", "n_chars").distinct()
-    return per.join(names, "cid").select(
+    per = spans.groupBy("cid", "did").agg(merged.alias("m"))
+    names = around.select("cid", "did", "id", "n_chars").distinct()
+    return per.join(names, ["cid", "did"]).select(
         "id", "n_chars", F.col("m.chars").alias("shared_chars"), F.round(F.col("m.chars") / F.col("n_chars"), 6).alias("share"), F.col("m.spans").alias("n_spans")
     )
 

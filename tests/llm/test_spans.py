@@ -54,6 +54,38 @@ def test_against_brute_force(spark, monkeypatch, seed, hot, batches):
     assert got == brute(data, 40)
 
 
+def test_index_goes_on_in_its_folder(spark, monkeypatch):
+    """Batch after batch, by one index or by a new one that opens the same folder: hashes met in history are told once
+    their second document comes, and compaction changes nothing."""
+    from tessera.plans.tables import work_dir
+
+    batches = [[(1, 10), (2, 10), (2, 10)], [(1, 10), (3, 11), (3, 12)], [(2, 13), (4, 13)], [(4, 13)], [(4, 14), (5, 1)], [(5, 2), (1, 11)]]
+    want = [set(), {3}, {2}, set(), {4}, {5, 1}]
+    for reopened in (False, True):
+        root = work_dir(spark)
+        index = spans.SpanIndex(spark, root)
+        sizes = []
+        for rows, expected in zip(batches, want, strict=True):
+            if reopened:
+                index.close()
+                index = spans.SpanIndex(spark, root)
+            found = index.add(spark.createDataFrame(rows, "h long, did long"))
+            assert {r.h for r in found.collect()} == expected
+            sizes.append(len(index.runs))
+        assert sizes == [1, 2, 3, 4, 1, 2]
+        index.close()
+
+
+def test_windows_that_only_hash_alike(spark, monkeypatch):
+    """Windows whose hashes collide are told apart by their characters."""
+    import numpy as np
+
+    monkeypatch.setattr(spans.tv, "span_hash", lambda prefix, start, end: np.zeros(len(start), np.uint64))
+    h, zero = np.array([7, 7, 7]), np.zeros(3, np.int64)
+    row, s, e = spans._covered(h, zero, zero, np.array([1, 2, 3]), ["abcdefgh", "abcdefxy", "zzzzzzzz"], 5)
+    assert list(zip(row.tolist(), s.tolist(), e.tolist(), strict=True)) == [(0, 0, 6), (1, 0, 6)]
+
+
 def test_nothing_shared(spark):
     df = spark.createDataFrame([("a", "d", "x" * 300), ("b", "d", "x" * 300)], "id string, doc_id string, text string")
     assert spans.shared_spans(df).count() == 0
