@@ -25,6 +25,10 @@ def test_plan_and_selection(spark):
     assert rows.groupby("source")["uses"].max().to_dict()["big_source"] <= 3 and rows["uses"].max() <= 6
     used = (rows["tokens"] * rows["uses"]).groupby(rows["source"]).sum()
     assert used["big_source"] / used.sum() == pytest.approx(0.7 / 0.9, abs=0.03)
+    # The reachable sources hold their share of a mixture as large as all documents, to a document.
+    lines = goal.set_index("source")
+    for name in ("big_source", "small_source"):
+        assert abs(used[name] - lines.loc[name, "target_tokens"]) <= rows["tokens"].max()
     assert sorted(map(tuple, m.mixture(docs, weights, WORDS)[0].collect())) == sorted(map(tuple, chosen.collect()))
 
 
@@ -49,7 +53,7 @@ def test_tokens_round_trip():
 
 def test_empty(spark):
     docs, weights = frames(spark)
-    _, goal = m.plan(m.measured(docs.where("false"), WORDS), weights)
+    _, goal = m.plan(m.with_topics(m.measured(docs.where("false"), WORDS)), weights)
     assert len(goal) == 3 and goal["available_tokens"].sum() == 0
     chosen, goal = m.mixture(docs, weights.where("false"), WORDS)
     assert chosen.count() == 0 and len(goal) == 0
