@@ -4,7 +4,11 @@ Each record's set of distinct runs of three words becomes a fingerprint of 96 sy
 records of Jaccard similarity J differ in about 96 * (1 - J) symbols.  Multi-index hashing: the fingerprint is cut into
 16 segments of six symbols; within each segment the Hamming ball of radius one is enumerated by leaving out one symbol
 at a time, records that meet in any of these tables are fetched, their complete Hamming distance is checked, and what is
-left is confirmed on the exact sets.
+left is confirmed on the exact sets of 64-bit run hashes.
+
+Table entries of many classes are compared block against block over several tasks.  Those that a count on every 64th
+class shows to be large are routed there before the entries are grouped; the others are met while the grouped entries
+stream by, of which a task never holds more than ``HOT`` members of one entry.  The routing does not change the pairs.
 
 Records with the same set form one class, which is searched once.  Null ids or texts take no part, nor do records of
 fewer than ``MIN_WORDS`` words; repeated rows of an id count once; other columns are ignored.
@@ -33,6 +37,11 @@ SLACK = 4.0
 #: A table entry of more classes is compared in blocks spread over tasks, distances first.
 HOT = 256
 BLOCK = 2048
+#: Table entries a task sorts, about 8 MB.
+TASK_ENTRIES = 500_000
+#: One class in so many is counted to find large entries; an entry with so many of these is routed to the blocks, and at
+#: most so many entries are (8 MB), the largest first.
+COUNTED, ROUTED, ROUTES = 64, 16, 1_000_000
 
 _SIZE = SEGMENTS * SYMBOLS
 _rng = np.random.default_rng(20240601)
@@ -83,8 +92,9 @@ def _symbols(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column.tolist()), np.uint16).reshape(-1, _SIZE)
 
 
-def table_entries(classes: DataFrame) -> DataFrame:
-    """(key, cls): for every segment the members of the radius-one ball, one per symbol left out."""
+def table_entries(classes: DataFrame, keys: np.ndarray | None = None, inside: bool = False) -> DataFrame:
+    """(key, cls): for every segment the members of the radius-one ball, one per symbol left out; ``keys`` names sorted
+    entries to leave out, or with ``inside`` the only ones to keep."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -95,7 +105,11 @@ def table_entries(classes: DataFrame) -> DataFrame:
                 each = tv.mix(fp + (place[None, None, :] << np.uint64(20)) + (np.uint64(1) << np.uint64(40)))
                 table = tv.mix(np.arange(_SIZE, dtype=np.uint64).reshape(SEGMENTS, SYMBOLS) + np.uint64(77))
                 key = tv.mix(each.sum(axis=2, dtype=np.uint64)[:, :, None] - each + table[None])
-                yield pd.DataFrame({"key": key.reshape(-1).view(np.int64), "cls": np.repeat(g["cls"].to_numpy(), _SIZE)})
+                flat, cls = key.reshape(-1).view(np.int64), np.repeat(g["cls"].to_numpy(), _SIZE)
+                if keys is not None:
+                    kept = (keys[np.minimum(np.searchsorted(keys, flat), len(keys) - 1)] == flat) == inside
+                    flat, cls = flat[kept], cls[kept]
+                yield pd.DataFrame({"key": flat, "cls": cls})
 
     return classes.select("cls", "fp").mapInPandas(run, "key long, cls long")
 
@@ -113,45 +127,63 @@ def _pairs_of_groups(size: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, n
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def meetings(entries: DataFrame, hot: int = HOT) -> DataFrame:
-    """(key, a, b, n): pairs of classes that meet in an entry; of entries with more than ``hot`` classes the members
-    themselves, with b null and n the entry's size."""
+def large_entries(classes: DataFrame, counted: int, routed: int) -> np.ndarray:
+    """Sorted keys of the entries that a count on one class in ``counted`` shows to be large."""
+    some = classes.where(F.pmod(F.xxhash64("cls"), F.lit(counted)) == 0)
+    sizes = table_entries(some).groupBy("key").count().where(F.col("count") >= routed)
+    return np.sort(sizes.orderBy(F.desc("count"), "key").limit(ROUTES).select("key").toPandas()["key"].to_numpy(np.int64))
+
+
+def meetings(entries: DataFrame, parts: int, hot: int = HOT) -> DataFrame:
+    """(key, a, b): pairs of classes that meet in an entry; of entries with more than ``hot`` classes the members
+    themselves, with b null."""
+
+    def members(key: np.ndarray, cls: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"key": key, "a": cls, "b": pd.array([None] * len(cls), dtype="Int64")})
 
     def out(key: np.ndarray, cls: np.ndarray) -> Iterator[pd.DataFrame]:
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])
-        key, cls = key[new], cls[new]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(first, len(key)))
         small = (size > 1) & (size <= hot)
         i, j = _pairs_of_groups(size[small], first[small])
         if len(i):
-            yield pd.DataFrame({"key": 0, "a": cls[i], "b": pd.array(cls[j], dtype="Int64"), "n": 2})
-        many = np.repeat(size, size)
-        big = many > hot
+            yield pd.DataFrame({"key": 0, "a": cls[i], "b": pd.array(cls[j], dtype="Int64")})
+        big = np.repeat(size, size) > hot
         if big.any():
-            yield pd.DataFrame({"key": key[big], "a": cls[big], "b": pd.array([None] * int(big.sum()), dtype="Int64"), "n": many[big]})
+            yield members(key[big], cls[big])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys: list[np.ndarray] = []
-        classes: list[np.ndarray] = []
+        none = np.zeros(0, np.int64)
+        key, cls, passing = none, none, None  # the entry that may go on, and a large one whose members pass by
         for f in frames:
             if not len(f):
                 continue
-            key, cls = f["key"].to_numpy(np.int64), f["cls"].to_numpy(np.int64)
+            k, c = f["key"].to_numpy(np.int64), f["cls"].to_numpy(np.int64)
+            if passing is not None:
+                own = int(np.searchsorted(k, passing, side="right"))
+                if own:
+                    yield members(k[:own], c[:own])
+                k, c = k[own:], c[own:]
+                if not len(k):
+                    continue
+                passing = None
+            key, cls = np.concatenate([key, k]), np.concatenate([cls, c])
             cut = int(np.searchsorted(key, key[-1]))
-            if cut or (keys and keys[-1][-1] != key[-1]):
-                yield from out(np.concatenate([*keys, key[:cut]]), np.concatenate([*classes, cls[:cut]]))
-                keys, classes = [], []
-            keys.append(key[cut:])
-            classes.append(cls[cut:])
-        if keys:
-            yield from out(np.concatenate(keys), np.concatenate(classes))
+            if cut:
+                yield from out(key[:cut], cls[:cut])
+                key, cls = key[cut:], cls[cut:]
+            if len(key) > hot:
+                yield members(key, cls)
+                key, cls, passing = none, none, key[0]
+        if len(key):
+            yield from out(key, cls)
 
-    return entries.repartition("key").sortWithinPartitions("key", "cls").mapInPandas(run, "key long, a long, b long, n long")
+    return entries.repartition(parts, "key").sortWithinPartitions("key", "cls").mapInPandas(run, "key long, a long, b long")
 
 
 def _hot_pairs(members: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     """Pairs of large entries within the distance, block against block, so that no task holds an entry whole."""
+    members = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key")
     blocks = F.ceil(F.col("n") / BLOCK)
     own = F.pmod(F.xxhash64("a"), blocks)
     spread = members.select("key", "a", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
@@ -173,9 +205,13 @@ def near_pairs(records: DataFrame, similarity: float = SIMILARITY, size: int = R
     records = records.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", "text")
     prints = stored(fingerprints(records, size, min_words))
     members = prints.select("cls", "id").distinct()
-    classes = prints.dropDuplicates(["cls"]).select("cls", "fp")
+    classes = stored(prints.dropDuplicates(["cls"]).select("cls", "fp"))
     least = least_shared(similarity)
-    met = stored(meetings(table_entries(classes), hot).distinct())
+    spark = records.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-classes.count() * _SIZE // TASK_ENTRIES))
+    large = large_entries(classes, COUNTED, ROUTED)
+    entries = table_entries(classes, large) if len(large) else table_entries(classes)
+    met = stored(meetings(entries, parts, hot).distinct())
 
     @F.pandas_udf("boolean")
     def close(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -188,7 +224,9 @@ def near_pairs(records: DataFrame, similarity: float = SIMILARITY, size: int = R
         .where(close("fa", "fb"))
         .select("a", "b")
     )
-    heavy = met.where("b is null").select("key", "a", "n")
+    heavy = met.where("b is null").select("key", "a")
+    if len(large):
+        heavy = stored(heavy.unionByName(table_entries(classes, large, inside=True).select("key", F.col("cls").alias("a"))))
     if not heavy.isEmpty():
         plain = plain.unionByName(_hot_pairs(heavy, classes, least)).distinct()
     pairs = stored(plain)
@@ -198,7 +236,7 @@ def near_pairs(records: DataFrame, similarity: float = SIMILARITY, size: int = R
 def _confirmed(pairs: DataFrame, members: DataFrame, records: DataFrame, similarity: float, size: int, min_words: int) -> DataFrame:
     """(a, b, jaccard) of the pairs whose exact sets reach the similarity; only records of the pairs are read as text."""
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    names = members.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id")).withColumn("k", F.xxhash64("id"))
+    names = stored(members.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id")).withColumn("k", F.xxhash64("id")))
     inside = bitmap.build(names.select("k"), "k")
     texts = records.withColumn("k", F.xxhash64("id")).where(bitmap.probe(inside, F.col("k"))).drop("k").join(names.drop("k"), "id").dropDuplicates(["cls"])
 
@@ -206,7 +244,7 @@ def _confirmed(pairs: DataFrame, members: DataFrame, records: DataFrame, similar
         for f in frames:
             cls = f["cls"].to_numpy()
             for rows, h, count in run_sets(f["text"].tolist(), size, min_words):
-                yield pd.DataFrame({"cls": cls[rows], "runs": [x.tobytes() for x in np.split((h >> np.uint64(16)).astype(np.uint32), np.cumsum(count)[:-1])] if len(rows) else []})
+                yield pd.DataFrame({"cls": cls[rows], "runs": [x.tobytes() for x in np.split(h, np.cumsum(count)[:-1])] if len(rows) else []})
 
     sets = stored(texts.select("cls", "text").mapInPandas(run, "cls long, runs binary"))
 
@@ -214,8 +252,8 @@ def _confirmed(pairs: DataFrame, members: DataFrame, records: DataFrame, similar
     def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
         out = np.zeros(len(x))
         for k, (p, q) in enumerate(zip(x, y, strict=True)):
-            u, v = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
-            common = len(np.intersect1d(u, v))
+            u, v = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            common = len(np.intersect1d(u, v, assume_unique=True))
             out[k] = common / (len(u) + len(v) - common)
         return pd.Series(out)
 

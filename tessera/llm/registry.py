@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": leaks.p6_found,
     "p6_leaks": leaks.p6_leaks,
     "p7_found": mixing.p7_found,
+    "p7_reach": mixing.p7_reach,
     "p7_mixture": mixing.p7_mixture,
     "p7_shares": mixing.p7_shares,
     "p8_found": reading.p8_found,
@@ -38,6 +39,17 @@ m AS (SELECT id, s, lead(s) OVER (PARTITION BY id ORDER BY s) AS next, lag(s) OV
 _WORDS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 _RUNS = "list_transform(range(1, len({0}) - {1} + 2), lambda k: array_to_string({0}[k:k + {1} - 1], ' '))"
 
+_PAIRS = f"""{_TEXTS},
+w AS (SELECT DISTINCT id, {_WORDS.format("text")} AS w FROM t),
+r AS (SELECT id, unnest(list_distinct({_RUNS.format("w", 3)})) AS r FROM w WHERE len(w) >= 40),
+n AS (SELECT id, count(*) AS n FROM r GROUP BY id),
+f AS (SELECT r, count(*) AS df FROM r GROUP BY r),
+o AS (SELECT r.id, r.r, n.n, row_number() OVER (PARTITION BY r.id ORDER BY f.df, r.r) AS place FROM r JOIN f ON f.r = r.r JOIN n ON n.id = r.id),
+p AS (SELECT id, r FROM o WHERE place <= n - CAST(ceil(0.6 * n - 0.000001) AS BIGINT) + 1),
+c AS (SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM p a JOIN p b ON a.r = b.r AND a.id < b.id),
+i AS (SELECT id_a, id_b, count(*) AS common FROM c JOIN r a ON a.id = c.id_a JOIN r b ON b.id = c.id_b AND b.r = a.r GROUP BY id_a, id_b),
+pairs AS (SELECT id_a, id_b FROM i JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE common >= 0.6 * (a.n + b.n - common))"""
+
 #: SQL twins, where SQL can say the whole result on the whole tables.
 ORACLE: dict[str, str] = {
     "p2_counts": rf"""WITH {_TEXTS},
@@ -53,16 +65,13 @@ FROM u LEFT JOIN n ON n.id = u.id""",
 c AS (SELECT id, CAST(sum(least(200, coalesce(next - s, 200))) AS BIGINT) AS shared_chars, CAST(count(*) FILTER (last IS NULL OR s - last > 200) AS BIGINT) AS n_spans FROM m GROUP BY id)
 SELECT x.id, CAST(x.n_chars AS BIGINT) AS n_chars, coalesce(c.shared_chars, 0) AS shared_chars, coalesce(round(c.shared_chars / x.n_chars, 6), 0.0) AS share, coalesce(c.n_spans, 0) AS n_spans
 FROM (SELECT id, max(length(content.text)) AS n_chars FROM chunks WHERE content.text IS NOT NULL AND id IS NOT NULL GROUP BY id) x LEFT JOIN c ON c.id = x.id""",
-    "p4_found": f"""WITH {_TEXTS},
-w AS (SELECT DISTINCT id, {_WORDS.format("text")} AS w FROM t),
-r AS (SELECT id, unnest(list_distinct({_RUNS.format("w", 3)})) AS r FROM w WHERE len(w) >= 40),
-n AS (SELECT id, count(*) AS n FROM r GROUP BY id),
-f AS (SELECT r, count(*) AS df FROM r GROUP BY r),
-o AS (SELECT r.id, r.r, n.n, row_number() OVER (PARTITION BY r.id ORDER BY f.df, r.r) AS place FROM r JOIN f ON f.r = r.r JOIN n ON n.id = r.id),
-p AS (SELECT id, r FROM o WHERE place <= n - CAST(ceil(0.6 * n - 0.000001) AS BIGINT) + 1),
-c AS (SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM p a JOIN p b ON a.r = b.r AND a.id < b.id),
-i AS (SELECT id_a, id_b, count(*) AS common FROM c JOIN r a ON a.id = c.id_a JOIN r b ON b.id = c.id_b AND b.r = a.r GROUP BY id_a, id_b)
-SELECT id_a, id_b FROM i JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE common >= 0.6 * (a.n + b.n - common)""",
+    "p4_found": f"WITH {_PAIRS} SELECT id_a, id_b FROM pairs",
+    "p4_groups": f"""WITH RECURSIVE {_PAIRS},
+e AS (SELECT id_a AS x, id_b AS y FROM pairs UNION ALL SELECT id_b, id_a FROM pairs),
+reach AS (SELECT x, y FROM e UNION SELECT reach.x, e.y FROM reach JOIN e ON e.x = reach.y),
+g AS (SELECT x, least(x, min(y)) AS group_id FROM reach GROUP BY x),
+l AS (SELECT x, count(*) AS n_links FROM e GROUP BY x)
+SELECT n.id, coalesce(g.group_id, n.id) AS group_id, coalesce(l.n_links, 0) AS n_links FROM n LEFT JOIN g ON g.x = n.id LEFT JOIN l ON l.x = n.id""",
     "p6_found": f"""WITH i AS (SELECT item_id, {_WORDS.format("text")} AS w FROM eval_items WHERE text IS NOT NULL),
 d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE text IS NOT NULL),
 x AS (SELECT item_id, unnest({_RUNS.format("w", 14)}) AS r FROM i WHERE len(w) >= 14),
@@ -71,4 +80,8 @@ SELECT DISTINCT y.doc_id, x.item_id FROM y JOIN x ON x.r = y.r""",
     "p7_found": r"""WITH s AS (SELECT lower(regexp_replace(trim(source), '[^\p{L}\p{N}]+', '_', 'g')) AS source, sum(length(text)) AS size FROM documents GROUP BY 1),
 a AS (SELECT sum(size) AS whole FROM s)
 SELECT w.source FROM source_weights w CROSS JOIN a LEFT JOIN s ON s.source = w.source WHERE coalesce(s.size, 0) * w.max_uses < w.target_share * a.whole""",
+    "p7_reach": r"""WITH s AS (SELECT lower(regexp_replace(trim(source), '[^\p{L}\p{N}]+', '_', 'g')) AS source, count(*) AS documents, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS size FROM documents GROUP BY 1),
+a AS (SELECT sum(size) AS whole FROM s),
+x AS (SELECT w.source, coalesce(s.documents, 0) AS documents, coalesce(s.size, 0) AS size, w.target_share * a.whole AS target, w.max_uses FROM source_weights w CROSS JOIN a LEFT JOIN s ON s.source = w.source)
+SELECT source, documents, CAST(size AS BIGINT) AS available_chars, CAST(round(target, 2) AS DOUBLE) AS target_chars, CAST(round(least(target, size * max_uses), 2) AS DOUBLE) AS raked_chars, size * max_uses >= target AS reachable FROM x""",
 }

@@ -49,6 +49,30 @@ def test_against_brute_force(spark, monkeypatch, seed, hot):
     assert got <= want and len(got) >= 0.98 * len(want)
 
 
+def test_large_entries(spark, monkeypatch):
+    """Entries of more than ``HOT`` classes, with the constants as they are: streamed past, or routed to the blocks first."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(120)]
+    data = []
+    for k in range(nd.HOT + 200):
+        edited = list(base)
+        for place in rng.sample(range(120), rng.randrange(1, 4)):
+            edited[place] = f"x{k}y{place}"
+        data.append((f"d{k:03d}", " ".join(edited)))
+    df = spark.createDataFrame(data, "id string, text string")
+    classes = nd.fingerprints(df).select("cls", "fp")
+    met = nd.meetings(nd.table_entries(classes), 4)
+    assert met.where("b is null").groupBy("key").count().where(f"count > {nd.HOT}").count() > 0
+    assert len(nd.large_entries(classes, 1, nd.HOT)) > 0
+    want = brute(data)
+    for counted in (nd.COUNTED, 1):
+        monkeypatch.setattr(nd, "COUNTED", counted)
+        pairs, members = nd.near_pairs(df, min_words=8)
+        ids = {r.cls: r.id for r in members.collect()}
+        got = {tuple(sorted((ids[r.a], ids[r.b]))) for r in pairs.collect()}
+        assert got <= want and len(got) >= 0.98 * len(want)
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(100, 101)], "a long, b long")
     got = {r.cls: r.root for r in nd.components(chain).collect()}
