@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_groups": neardup.p4_groups,
     "p5_found": pairs.p5_found,
     "p5_defects": pairs.p5_defects,
+    "p5_patterns": pairs.p5_patterns,
     "p6_found": leaks.p6_found,
     "p6_leaks": leaks.p6_leaks,
     "p7_found": mixing.p7_found,

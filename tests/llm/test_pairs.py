@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 from tessera.llm import pairs
+from labelled_pairs import LABELS
 
 Q = "Why did the marker light at Oldham have to be bypassed after the transponder failed?"
 A = "The relay at Oldham was tested by the driver, and the reading of 5 mV was noted in the log for the review of the line."
@@ -56,5 +58,43 @@ def test_label_model_finds_the_truth():
     assert ((p > 0.5) == truth).mean() > best - 0.005 and p[text == "000"].max(initial=0) < 0.2
 
 
+@pytest.fixture(scope="module")
+def posteriors(spark):
+    """Of every defect the record ids at scale 0.01, their posteriors, their majority votes and the truth by hand."""
+    cast, patterns = pairs.judged(spark.read.parquet("/root/testdata/sf0.01/qa_records.parquet"))
+    rows = cast.toPandas().drop_duplicates(["id", "defect"]).merge(patterns, on=["defect", "votes"])
+    return {d: (g["posterior"].to_numpy(), g["majority"].to_numpy(), g["id"].isin(LABELS[d]).to_numpy()) for d, g in rows.groupby("defect")}
+
+
+@pytest.mark.parametrize("defect", sorted(LABELS))
+def test_cutoffs_are_the_best_on_labelled_records(posteriors, defect):
+    posterior, _, truth = posteriors[defect]
+    best, precision, recall = pairs.choose_cutoff(posterior, truth)
+    assert precision >= 0.99 and recall >= 0.99
+    assert ((posterior > pairs.CUTOFFS[defect]) == (posterior > best)).all()
+
+
+def test_label_model_against_the_majority(posteriors):
+    """Where the two differ the label model is right."""
+    posterior, majority, truth = posteriors["truncated"]
+    flagged = posterior > pairs.CUTOFFS["truncated"]
+    differ = flagged != majority
+    assert differ.sum() > 0 and (flagged == truth)[differ].all()
+
+
+def test_passages_are_read():
+    tail = "the relay near Oldham was examined by the driver and"
+    whole = pairs.Record(Q, "A. " + tail, ["Since then " + tail + " the lamp was tested."])
+    assert pairs._goes_on(whole) == 1 and pairs._goes_on(pairs.Record(Q, "A. " + tail, [])) == 0
+    closed = pairs.Record(Q, A, [A + " And more."])
+    assert pairs._goes_on(closed) == -1 and pairs._grounded(pairs.Record(Q, "lens cabinet", ["the lens of a cabinet"])) == -1
+
+
+def test_no_vote_settles_a_defect_alone():
+    """A pattern's posterior is estimated: a vote that is as common among sound records is not believed."""
+    p = pairs.label_model(["+00", "+++", "---", "+--"], np.array([5.0, 100.0, 1000.0, 900.0]))
+    assert p[3] < 0.05 < p[1]
+
+
 def test_empty(spark):
     assert pairs.defects(spark.createDataFrame([], "id long, query string, answer string")).count() == 0
