@@ -1,12 +1,13 @@
 """Problem 1: noise in text from scanned pages, repaired into continuous paragraphs.
 
 * Running lines: a line at a page's edge whose shape (words, numbers and marks, misread figures folded) stands nearly
-  only at page edges over all pages.
+  only at page edges over all pages, and more often there than chance would have any of the shapes.
 * Words broken over lines or pages: a line ends in a hyphen mark.  Counts over all texts of the closed and of the
   hyphenated form decide whether the hyphen belongs to the word.
 * Misread characters: every rare word of the scans is joined, in SQL, with frequent words whose anagram hash differs by
   the difference of one or two known confusions; matches are verified and ranked by the number of confusions and the
-  frequency.  Figures misread in numbers, and in words that no frequent word explains, follow the confusions themselves.
+  frequency.  Numbers are joined in the same way by their pattern, in which every figure is alike: a rare pattern such as
+  figure-l-figure with the frequent one of figures only.  What no frequent form explains is left as it stands.
 
 Null texts and ids take no part, blank pages have no lines, an empty table gives no rows.  Whatever is counted is counted
 over distinct pages and texts: rows loaded again, texts copied under other ids and pages that stand in a chunk and in the
@@ -15,6 +16,7 @@ table of pages weigh once.  Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -23,7 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import bitmap
@@ -35,18 +37,20 @@ PAGE = re.compile(r"^\s*-{3}\s*Page\s+\d+\s*-{3}\s*$")
 _PAGES = r"(?mdU)^[^\S\n]*-{3}[^\S\n]*Page[^\S\n]+\d+[^\S\n]*-{3}[^\S\n]*$"
 #: Lines next to a page's edge that may be running lines.
 EDGE_LINES = 3
-#: A shape is a running line's if it was seen so often at edges, and this many times as often as inside pages.
-EDGE_COUNT, EDGE_ODDS = 5, 12
-#: A frequent word outnumbers its misreadings at least so many times, and is seen at least so often.
-OUTNUMBER, FREQUENT = 8, 5
+#: A shape is a running line's if it stands at edges so many times as often as inside pages, and if lines put at random
+#: would put any shape at edges only, as often as it was seen, with less than this chance.
+EDGE_ODDS, CHANCE = 12, 0.01
+#: A frequent word, or pattern of a number, outnumbers its misreadings at least so many times; a word that has figures in
+#: it is no word, so there the right one need only be so much more frequent.
+OUTNUMBER, OUTNUMBER_MIXED = 8, 2
 
 # Character confusions of optical recognition, as read and as printed.
 CONFUSIONS = (
     ("c", "e"), ("e", "c"), ("l", "i"), ("i", "l"), ("cl", "d"), ("q", "g"), ("li", "h"), ("rn", "m"), ("m", "rn"), ("vv", "w"), ("n", "ri"),
     ("ii", "u"), ("d", "cl"), ("0", "o"), ("1", "l"), ("1", "i"), ("5", "s"), ("6", "b"), ("8", "b"), ("9", "g"), ("3", "e"), ("b", "h"), ("h", "b"),
 )
-FIGURES = str.maketrans({"l": "1", "I": "1", "i": "1", "O": "0", "o": "0", "|": "1", "S": "5", "s": "5", "B": "8", "Z": "2"})
-LETTERS = str.maketrans({"0": "o", "1": "l", "5": "s", "6": "b", "8": "b", "9": "g", "3": "e"})
+FIGURES = {"l": "1", "I": "1", "O": "0", "o": "0"}
+LETTERS = ({"0": "o", "1": "l", "5": "s", "6": "b", "8": "b", "9": "g", "3": "e"}, {"0": "o", "1": "i", "5": "s", "6": "b", "8": "b", "9": "g", "3": "e"})
 
 _MARK = re.compile(r"(\S*[^\W_])([-‐‑­¬])[^\S\n]*$")
 _HYPHENS = frozenset("-‐‑\xad¬")
@@ -81,7 +85,7 @@ def shape(line: str) -> str:
 def _may_run(s: str) -> bool:
     """Shapes worth counting: few lower-case words, a figure or a capital, and no end of a clause."""
     words = s.split()
-    return 0 < len(words) <= 12 and s[-1] not in ".,;" and ("#" in s or "X" in s) and sum(w == "x" or w.startswith("x") for w in words) <= 1
+    return len(words) > 0 and s[-1] not in ".,;" and ("#" in s or "X" in s) and sum(w == "x" or w.startswith("x") for w in words) <= 1
 
 
 @dataclass
@@ -112,28 +116,63 @@ def distinct_pages(texts: DataFrame) -> DataFrame:
     return parts.select(F.expr(r"btrim(text, ' \n\r\t')").alias("text")).where("text <> ''").distinct()
 
 
-def _count_shapes(texts: list[str], counts: dict[str, list[int]]) -> None:
+def _count_shapes(texts: list[str], counts: dict[str | None, list[int]]) -> None:
+    """Lines at edges and inside pages by shape; under None all lines that are not blank."""
     for t in texts:
         for p in pages(t):
             head, foot = p.edges()
             edge = {*head, *foot}
             for k, (_, x) in enumerate(p.lines):
+                if not x.strip():
+                    continue
+                counts.setdefault(None, [0, 0])[k not in edge] += 1
                 # Two words in lower case already make running text.
-                if len(x) <= 90 and len(_LOWER.findall(x)) < 2 and x.strip() and _may_run(s := shape(x)):
+                if len(_LOWER.findall(x)) < 2 and _may_run(s := shape(x)):
                     counts.setdefault(s, [0, 0])[k not in edge] += 1
 
 
-def running_shapes(texts: DataFrame) -> list[str]:
-    """Shapes of running lines over all pages.  What reaches the driver grows with the layouts in use, not the pages."""
+def running_shapes(texts: DataFrame) -> DataFrame:
+    """(shape) of running lines over all pages.
+
+    A shape seen k times at edges only would be so by chance with probability share ** k, share being the part of all
+    lines that stand at edges; over all shapes that must be less than ``CHANCE``.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict[str, list[int]] = {}
+        counts: dict[str | None, list[int]] = {}
         for f in frames:
             _count_shapes(f["text"].tolist(), counts)
+            if len(counts) > 100_000:
+                yield pd.DataFrame([(s, a, b) for s, (a, b) in counts.items()], columns=["shape", "edge", "inner"])
+                counts.clear()
         yield pd.DataFrame([(s, a, b) for s, (a, b) in counts.items()], columns=["shape", "edge", "inner"])
 
-    sums = texts.select("text").mapInPandas(run, "shape string, edge long, inner long").groupBy("shape").agg(F.sum("edge").alias("edge"), F.sum("inner").alias("inner"))
-    return [r.shape for r in sums.where((F.col("edge") >= EDGE_COUNT) & (F.col("edge") >= EDGE_ODDS * F.col("inner"))).select("shape").collect()]
+    sums = stored(texts.select("text").mapInPandas(run, "shape string, edge long, inner long").groupBy("shape").agg(F.sum("edge").alias("edge"), F.sum("inner").alias("inner")))
+    n, edge, inner = sums.agg(F.count("shape"), F.max(F.when(F.col("shape").isNull(), F.col("edge"))), F.max(F.when(F.col("shape").isNull(), F.col("inner")))).first()
+    share = (edge or 0) / max((edge or 0) + (inner or 0), 1)
+    # Short pages are all edge; a shape must then be seen as often as if half of the lines were.
+    least = math.log(max(n, 1) / CHANCE) / math.log(1 / min(max(share, 0.1), 0.5))
+    return sums.where(F.col("shape").isNotNull() & (F.col("edge") >= least) & (F.col("edge") >= EDGE_ODDS * F.col("inner"))).select("shape")
+
+
+def running_places(scans: DataFrame, running: DataFrame) -> DataFrame:
+    """(id, places): which lines at the page edges of each text have the shape of a running line."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for i, t in zip(f["id"], f["text"], strict=True):
+                for p in pages(t):
+                    for edge in p.edges():
+                        for k in edge:
+                            place, x = p.lines[k]
+                            if len(_LOWER.findall(x)) >= 2 or not _may_run(s := shape(x)):
+                                break  # a running line has nothing but running lines between itself and the edge
+                            rows.append((i, place, s))
+            yield pd.DataFrame(rows, columns=["id", "place", "shape"])
+
+    lines = scans.select("id", "text").mapInPandas(run, "id string, place int, shape string")
+    return lines.join(running, "shape").groupBy("id").agg(F.collect_set("place").alias("places"))
 
 
 @dataclass
@@ -147,13 +186,14 @@ class Reading:
     body: list[str | None] = field(default_factory=list)
 
 
-def read(text: str, running: frozenset[str]) -> Reading:
+def read(text: str, running: set[int]) -> Reading:
+    """``running`` has the places of the lines at page edges that have the shape of a running line."""
     out = Reading()
     for p in pages(text):
         drop: set[int] = set()
         for edge in p.edges():
             for k in edge:
-                if shape(p.lines[k][1]) not in running:
+                if p.lines[k][0] not in running:
                     break
                 drop.add(k)
         out.furniture += [p.lines[k][1].strip() for k in sorted(drop)]
@@ -202,15 +242,12 @@ def _suspect(t: str) -> bool:
     return figures == 0 or (t.lower() != t.upper() and any(c.islower() for c in t) and figures < len(t) - figures + 1) or (len(t) > 4 and figures <= 2 and t[0].isalpha() and t[-1].isalpha())
 
 
-def number(t: str, in_furniture: bool = False) -> str | None:
-    """The right figures of a number with misread characters, else None."""
-    if t.isdigit():
+def pattern(t: str, in_furniture: bool = False) -> str | None:
+    """Pattern of a token that is a number, or may be one with misread characters: every figure is a 9, and what may be a
+    misread figure stays.  In a running line short tokens without any figure may be numbers too."""
+    if not t.isdigit() and not (any(c.isdigit() for c in t) and _FIGURE.fullmatch(t)) and not (in_furniture and len(t) <= 3 and set(t) <= set("lIO") and t not in ("I", "O", "II", "III")):
         return None
-    if any(c.isdigit() for c in t) and _FIGURE.fullmatch(t):
-        return t.translate(FIGURES)
-    if in_furniture and len(t) <= 3 and set(t) <= set("lIO") and t not in ("I", "O", "II", "III"):
-        return t.translate(FIGURES)
-    return None
+    return "".join("9" if c.isdigit() else c for c in t)
 
 
 def lexicon(texts: DataFrame) -> DataFrame:
@@ -229,7 +266,7 @@ def lexicon(texts: DataFrame) -> DataFrame:
                 text = lambda a, b: chars[4 * a : 4 * b].decode("utf-32-le", "replace")  # noqa: E731, B023
                 figure = (w.cp >= 48) & (w.cp <= 57)
                 before = np.concatenate([[0], np.cumsum(figure)])
-                plain = (before[w.end[first]] - before[w.start[first]] == 0) & (w.end[first] - w.start[first] <= 40)
+                plain = before[w.end[first]] - before[w.start[first]] == 0
                 for k, n in zip(first[plain], count[plain], strict=True):
                     total[text(w.start[k], w.end[k])] += int(n)
                 pair = np.flatnonzero((w.start[1:] == w.end[:-1] + 1) & (w.cp[w.end[:-1]] == 45))
@@ -237,7 +274,7 @@ def lexicon(texts: DataFrame) -> DataFrame:
                 _, first, count = np.unique(both, return_index=True, return_counts=True)
                 for k, n in zip(pair[first], count, strict=True):
                     x = text(w.start[k], w.end[k + 1])
-                    if len(x) <= 60 and not any(c.isdigit() for c in x):
+                    if not any(c.isdigit() for c in x):
                         total[x] += int(n)
             if len(total) > 200_000:
                 yield pd.DataFrame(list(total.items()), columns=["word", "n"])
@@ -247,35 +284,56 @@ def lexicon(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-_READ = "id string, furniture array<string>, lefts array<string>, rights array<string>, tokens array<string>, figures array<string>, words array<string>, counts array<int>"
+_READ = (
+    "id string, furniture array<string>, lefts array<string>, rights array<string>, tokens array<struct<place:string,token:string,pattern:string>>, "
+    "patterns array<struct<place:string,pattern:string,n:int>>, words array<string>, counts array<int>"
+)
+_READ_COLUMNS = ["id", "furniture", "lefts", "rights", "tokens", "patterns", "words", "counts"]
 
 
-def readings(scans: DataFrame, running: frozenset[str]) -> DataFrame:
-    """One row a scanned text: running lines, halves of broken words, misread numbers as read and as printed, and the
-    words that may be misread, in lower case, with their counts."""
+def readings(scans: DataFrame, places: DataFrame) -> DataFrame:
+    """One row a scanned text: running lines, halves of broken words, tokens that may be misread numbers, the patterns of
+    all numbers with their counts, and the words that may be misread, in lower case, with their counts."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out: list[tuple] = []
-            for i, t in zip(f["id"], f["text"], strict=True):
-                r = read(t, running)
+            for i, t, marks in zip(f["id"], f["text"], f["places"], strict=True):
+                r = read(t, set() if marks is None else set(marks))
                 seen = Counter(_tokens(r))
-                figures = {(x, n) for x in seen if (n := number(x))} | {(x, n) for y in r.furniture for x in _TOKEN.findall(y) if (n := number(x, True))}
+                shown = Counter(x for y in r.furniture for x in _TOKEN.findall(y))
+                tokens, patterns = set(), Counter()
                 words: Counter[str] = Counter()
-                for x, n in seen.items():
-                    if len(x) <= 40 and _suspect(x) and not number(x):
-                        words[x.lower()] += n
+                for place, some in (("text", seen), ("furniture", shown)):
+                    for x, n in some.items():
+                        if p := pattern(x, place == "furniture"):
+                            patterns[place, p] += n
+                            if not x.isdigit():
+                                tokens.add((place, x, p))
+                        elif place == "text" and _suspect(x):
+                            words[x.lower()] += n
                 broken = set(r.broken)
-                out.append((i, sorted(set(r.furniture)), [a for a, _ in broken], [b for _, b in broken], [x for x, _ in figures], [n for _, n in figures], list(words), list(words.values())))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _READ.split(", ")])
+                numbers = [{"place": a, "pattern": b, "n": n} for (a, b), n in patterns.items()]
+                out.append((i, sorted(set(r.furniture)), [a for a, _ in broken], [b for _, b in broken], [{"place": a, "token": x, "pattern": b} for a, x, b in tokens], numbers, list(words), list(words.values())))
+            yield pd.DataFrame(out, columns=_READ_COLUMNS)
 
-    return scans.select("id", "text").repartition("id").mapInPandas(run, _READ)
+    return scans.select("id", "text").join(places, "id", "left").mapInPandas(run, _READ)
 
 
-def scan_words(read_: DataFrame, scans: DataFrame) -> DataFrame:
-    """(word, n): words of the scanned texts that may be misread; of texts that are alike one is counted."""
+def one_of_alike(read_: DataFrame, scans: DataFrame) -> DataFrame:
+    """Readings of one text of those that are alike."""
     one = scans.groupBy(F.sha2("text", 256).alias("key")).agg(F.min("id").alias("id")).select("id")
-    return read_.join(one, "id", "left_semi").select(F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy(F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("n"))
+    return read_.join(one, "id", "left_semi")
+
+
+def scan_words(read_: DataFrame) -> DataFrame:
+    """(word, n): words of the scanned texts that may be misread."""
+    return read_.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy(F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("n"))
+
+
+def scan_numbers(read_: DataFrame) -> DataFrame:
+    """(place, pattern, n): patterns of the numbers in the scanned texts, in running lines and altogether."""
+    return read_.select(F.explode("patterns").alias("x")).groupBy("x.place", "x.pattern").agg(F.sum("x.n").alias("n"))
 
 
 def _anagram(word):  # type: ignore[no-untyped-def]
@@ -305,10 +363,19 @@ def _replaced(word: str, changes: tuple[tuple[str, str], ...]) -> set[str]:
     return {w for w, _ in found}
 
 
+def _exchanged(word: Column, table_: dict[str, str]) -> Column:
+    """How the anagram hash changes when every character that the table has is exchanged."""
+    change = F.lit(0).cast("long")
+    for wrong, right in table_.items():
+        change = change + (F.length(word) - F.length(F.replace(word, F.lit(wrong), F.lit("")))) * F.lit(_value(right) - _value(wrong))
+    return change
+
+
 def corrections(suspects: DataFrame, frequent: DataFrame) -> DataFrame:
     """(word, right): rare words with the frequent word they are a misreading of, one each.
 
-    ``suspects`` and ``frequent`` have word and n; the join is on the anagram hash plus the confusion's difference.
+    ``suspects`` and ``frequent`` have word and n; the join is on the anagram hash plus the confusion's difference: of one
+    confusion, of two, or of all figures in the word at once.
     """
     singles = [((a, b),) for a, b in CONFUSIONS]
     doubles = [(x, y) for k, (x,) in enumerate(singles) for (y,) in singles[k:]]
@@ -316,45 +383,62 @@ def corrections(suspects: DataFrame, frequent: DataFrame) -> DataFrame:
     table_ = F.array(
         *[F.struct(F.lit(k).alias("k"), F.lit(c[0][0]).alias("w"), F.lit(c[-1][0]).alias("v"), F.lit(sum(_value(b) - _value(a) for a, b in c)).cast("long").alias("d")) for k, c in enumerate(changes)]
     )
-    known = frequent.where(F.col("n") >= FREQUENT).select(F.col("word").alias("right"), F.col("n").alias("right_n"), _anagram(F.col("word")).alias("h"))
+    word = F.col("word")
+    nothing = F.array().cast("array<struct<k:int,w:string,v:string,d:bigint>>")
+    every = F.array(*[F.struct(F.lit(len(changes) + k).alias("k"), F.lit("").alias("w"), F.lit("").alias("v"), _exchanged(word, x).alias("d")) for k, x in enumerate(LETTERS)])
+    known = frequent.select(word.alias("right"), F.col("n").alias("right_n"), _anagram(word).alias("h"))
     rare = suspects.join(frequent.select("word", F.col("n").alias("seen")), "word", "left")
-    rare = rare.select("word", F.greatest("n", F.coalesce("seen", F.lit(0))).alias("n"), _anagram(F.col("word")).alias("own"))
-    tried = rare.select("word", "n", "own", F.explode(F.filter(table_, lambda x: F.contains(F.col("word"), x["w"]) & F.contains(F.col("word"), x["v"]))).alias("x"))
-    met = tried.select("word", "n", F.col("x.k").alias("k"), (F.col("own") + F.col("x.d")).alias("h")).join(known, "h").where(F.col("right_n") >= OUTNUMBER * F.col("n"))
+    rare = rare.select("word", F.greatest("n", F.coalesce("seen", F.lit(0))).alias("n"), _anagram(word).alias("own"), word.rlike("[0-9]").alias("mixed"))
+    one_or_two = F.filter(table_, lambda x: F.contains(word, x["w"]) & F.contains(word, x["v"]))
+    tried = rare.select("word", "n", "own", "mixed", F.explode(F.concat(one_or_two, F.when(F.col("mixed"), every).otherwise(nothing))).alias("x"))
+    met = tried.select("word", "n", "mixed", F.col("x.k").alias("k"), (F.col("own") + F.col("x.d")).alias("h")).join(known, "h")
+    met = met.where((F.col("right_n") >= F.when(F.col("mixed"), OUTNUMBER_MIXED).otherwise(OUTNUMBER) * F.col("n")) & (F.col("word") != F.col("right")))
+    tables = [str.maketrans(x) for x in LETTERS]
 
     @F.pandas_udf("boolean")
     def reads(word: pd.Series, right: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series([r in _replaced(w, changes[c]) for w, r, c in zip(word, right, k, strict=True)], dtype=bool)
+        return pd.Series([r in _replaced(w, changes[c]) if c < len(changes) else w.translate(tables[c - len(changes)]) == r for w, r, c in zip(word, right, k, strict=True)], dtype=bool)
 
     best = Window.partitionBy("word").orderBy("few", F.desc("right_n"), "right")
     sure = met.where(reads("word", "right", "k")).withColumn("few", (F.col("k") >= len(singles)).cast("int"))
     # Two confusions in a short word prove little.
-    sure = sure.where((F.col("few") == 0) | (F.length("word") >= 6) | F.col("word").rlike("[0-9]"))
+    sure = sure.where((F.col("few") == 0) | (F.length("word") >= 6) | F.col("mixed"))
     ranked = sure.withColumn("rank", F.row_number().over(best)).where("rank = 1")
     return ranked.select("word", "right")
 
 
+def number_patterns(numbers: DataFrame) -> DataFrame:
+    """(place, pattern): rare patterns with misread characters whose anagram hash, all characters exchanged for figures, is
+    that of a pattern of figures only that outnumbers them."""
+    of = F.col("pattern")
+    figures = {wrong: "9" for wrong in FIGURES}
+    mixed = numbers.where(~of.rlike("^9+$")).select("place", "pattern", F.col("n"), F.length(of).alias("size"), (_anagram(of) + _exchanged(of, figures)).alias("h"))
+    plain = numbers.where(of.rlike("^9+$")).select("place", F.col("n").alias("right_n"), F.length(of).alias("size"), _anagram(of).alias("h"))
+    return mixed.join(plain, ["place", "size", "h"]).where(F.col("right_n") >= OUTNUMBER * F.col("n")).select("place", "pattern")
+
+
 @dataclass
 class Evidence:
-    """Everything the corpus says about its scans: shapes of running lines, word counts, corrections, the readings."""
+    """Everything the corpus says about its scans: places of running lines, word counts, corrections, the readings."""
 
-    running: frozenset[str]
+    places: DataFrame
     words: DataFrame
     fixes: DataFrame
+    numbers: DataFrame
     readings: DataFrame
 
 
 def evidence(scans: DataFrame, texts: DataFrame, extra_pages: DataFrame) -> Evidence:
     """``scans`` are the scanned texts, ``texts`` all texts, ``extra_pages`` pages that are not among the texts."""
-    running = frozenset(running_shapes(distinct_pages(scans.select("text").unionByName(extra_pages.select("text")))))
+    places = stored(running_places(scans, running_shapes(distinct_pages(scans.select("text").unionByName(extra_pages.select("text"))))))
     words = stored(lexicon(distinct_pages(texts.select("text").unionByName(extra_pages.select("text")))))
-    read_ = stored(readings(scans, running))
-    return Evidence(running, words, stored(corrections(scan_words(read_, scans), words)), read_)
+    read_ = stored(readings(scans, places))
+    alike = one_of_alike(read_, scans)
+    return Evidence(places, words, stored(corrections(scan_words(alike), words)), stored(number_patterns(scan_numbers(alike))), read_)
 
 
 def suspects(ev: Evidence) -> DataFrame:
-    """(id, token, item): words that may be in the corrections, by a bitmap of these, and words with figures inside, with
-    the letters these stand for."""
+    """(id, token): words that may be in the corrections, by a bitmap of these."""
     known = bitmap.build(ev.fixes.select(F.crc32(F.col("word").cast("binary")).alias("h")), "h")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -362,11 +446,10 @@ def suspects(ev: Evidence) -> DataFrame:
             out: list[tuple] = []
             for i, words in zip(f["id"], f["words"], strict=True):
                 hit = bitmap.contains(known, np.fromiter((zlib.crc32(x.encode()) for x in words), np.int64, len(words)))
-                mixed = [not x.isalpha() and sum(c.isalpha() for c in x) >= 3 for x in words]
-                out += [(i, x, x.translate(LETTERS) if m else None) for x, h, m in zip(words, hit, mixed, strict=True) if h or m]
-            yield pd.DataFrame(out, columns=["id", "token", "item"])
+                out += [(i, x) for x, h in zip(words, hit, strict=True) if h]
+            yield pd.DataFrame(out, columns=["id", "token"])
 
-    return ev.readings.select("id", "words").mapInPandas(run, "id string, token string, item string")
+    return ev.readings.select("id", "words").mapInPandas(run, "id string, token string")
 
 
 def joined_words(pairs: DataFrame, ev: Evidence) -> DataFrame:
@@ -387,10 +470,11 @@ def defects(ev: Evidence) -> DataFrame:
     """(id, defect, item, token, left, right): token is the misread string, left and right the halves of a broken word."""
     rows, none = ev.readings, F.lit(None).cast("string")
     furniture = rows.select("id", F.lit("furniture").alias("defect"), F.explode("furniture").alias("item"), none.alias("token"), none.alias("left"), none.alias("right"))
-    numbers = rows.select("id", F.explode(F.arrays_zip("tokens", "figures")).alias("x"))
-    numbers = numbers.select("id", F.lit("misread").alias("defect"), F.col("x.figures").alias("item"), F.col("x.tokens").alias("token"), none.alias("left"), none.alias("right"))
-    words = suspects(ev).join(ev.fixes.select(F.col("word").alias("token"), F.col("right").alias("fix")), "token", "left")
-    words = words.select("id", F.lit("misread").alias("defect"), F.coalesce("fix", "item").alias("item"), "token", none.alias("left"), none.alias("right")).where("item is not null")
+    numbers = rows.select("id", F.explode("tokens").alias("x")).select("id", "x.place", "x.token", "x.pattern").join(ev.numbers, ["place", "pattern"])
+    right = F.translate("token", "".join(FIGURES), "".join(FIGURES.values()))
+    numbers = numbers.select("id", F.lit("misread").alias("defect"), right.alias("item"), "token", none.alias("left"), none.alias("right"))
+    words = suspects(ev).join(ev.fixes.select(F.col("word").alias("token"), F.col("right").alias("item")), "token")
+    words = words.select("id", F.lit("misread").alias("defect"), "item", "token", none.alias("left"), none.alias("right"))
     broken = rows.select("id", F.explode(F.arrays_zip("lefts", "rights")).alias("x")).select("id", F.col("x.lefts").alias("left"), F.col("x.rights").alias("right"))
     last, first = F.element_at(F.split(F.lower("left"), "[-‐‑]"), -1), F.element_at(F.split(F.lower("right"), "[-‐‑]"), 1)
     broken = broken.withColumn("a", last).withColumn("b", first)
@@ -403,7 +487,6 @@ def defects(ev: Evidence) -> DataFrame:
 
 def repaired(scans: DataFrame, found: DataFrame, ev: Evidence) -> DataFrame:
     """(id, text): continuous paragraphs, without running lines, broken words put together, misread characters put right."""
-    running = ev.running
     fixes = found.where("defect = 'misread'").groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("token", "item"))).alias("tokens"))
     wholes = found.where("defect = 'split_word'").groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\n", "left", "right"), "item"))).alias("wholes"))
 
@@ -416,9 +499,9 @@ def repaired(scans: DataFrame, found: DataFrame, ev: Evidence) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for t, tokens, whole in zip(f["text"], f["tokens"], f["wholes"], strict=True):
+            for t, marks, tokens, whole in zip(f["text"], f["places"], f["tokens"], f["wholes"], strict=True):
                 tokens, whole = dict(tokens) if tokens is not None else {}, dict(whole) if whole is not None else {}
-                r = read(t, running)
+                r = read(t, set() if marks is None else set(marks))
                 paragraphs: list[list[str]] = [[]]
                 lines, k = list(r.body), 0
                 while k < len(lines):
@@ -446,7 +529,7 @@ def repaired(scans: DataFrame, found: DataFrame, ev: Evidence) -> DataFrame:
                 out.append("\n\n".join(_TOKEN.sub(fix, " ".join(" ".join(p).split())) for p in paragraphs if p))
             yield pd.DataFrame({"id": f["id"], "text": out})
 
-    return scans.select("id", "text").join(fixes, "id", "left").join(wholes, "id", "left").mapInPandas(run, "id string, text string")
+    return scans.select("id", "text").join(ev.places, "id", "left").join(fixes, "id", "left").join(wholes, "id", "left").mapInPandas(run, "id string, text string")
 
 
 def _inputs(spark: SparkSession, sf_dir: str, kinds: str) -> tuple[DataFrame, Evidence]:

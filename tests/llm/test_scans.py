@@ -6,7 +6,7 @@ import pytest
 
 from tessera.llm import scans as s
 
-SENTENCES = ["the driver reported that the signal failed again", "because the current returned the panel was locked", "the dispatcher called within the hour to release the route", "a fault-tolerant relay was tested near the barrier", "which engineer was at the machine that day"]
+SENTENCES = ["the driver reported that the signal failed again", "because the current returned the panel was locked", "the dispatcher called within the hour to release the route", "a fault-tolerant relay was tested near the barrier", "which engineer was at the machine that day", "the reading of 512 volts was taken over 2048 seconds"]
 
 
 def wrap(words, rng):
@@ -100,4 +100,30 @@ def test_copied_page_is_no_running_line(spark):
     """A line at the edge of one page is no running line because the page has copies."""
     text = "Oldham Works | Issue 3\n\n" + "\n".join(SENTENCES)
     scans = spark.createDataFrame([(f"c{k}", f"--- Page {k} ---\n{text}\n") for k in range(20)], "id string, text string")
-    assert s.evidence(scans, scans, spark.createDataFrame([(text,)], "text string")).running == frozenset()
+    assert s.evidence(scans, scans, spark.createDataFrame([(text,)], "text string")).places.count() == 0
+
+
+def test_no_length_is_too_long(spark):
+    """A word of 45 letters is put together and corrected, a header of 100 characters and 14 words is a running line."""
+    rng = random.Random(3)
+    long = "betriebsleitzentralenschaltanlagenprotokollen"
+    header = "Regional Works Bulletin Of The Northern Lines And Branches | Volume 12 | Section B | Printed At Oldham | No. 7"
+    assert len(long) == 45 and len(header) > 100
+    filler = lambda: " ".join(rng.choice(SENTENCES) for _ in range(3)) + "."
+    pages = [f"{header}\n\n{filler()}\nthe {long} of day {k}\n{filler()}" for k in range(20)]
+    wrong = long.replace("anlagen", "aniagen")
+    noisy = f"--- Page 1 ---\n{header}\n\n{filler()}\nthe {wrong} and the {long[:30]}-\n{long[30:]} of the day\n{filler()}"
+    scans = spark.createDataFrame([*((f"c{k}", f"--- Page 1 ---\n{t}") for k, t in enumerate(pages)), ("noisy", noisy)], "id string, text string")
+    ev = s.evidence(scans, scans, spark.createDataFrame([], "text string"))
+    got = {(r.defect, r.item) for r in s.defects(ev).where("id = 'noisy'").collect()}
+    assert got == {("furniture", header), ("misread", long), ("split_word", long)}
+
+
+def test_what_no_frequent_form_explains_stays(spark):
+    """Codes and words with figures are left alone without evidence, and no token is its own correction."""
+    page = "The abc2d unit and the mp3s of covid19x were tested at word7s.\nThe code I45 was read, and B7.\nThe driver came."
+    scans = spark.createDataFrame([(f"c{k}", f"--- Page 1 ---\n{page}\nLine {k}") for k in range(20)], "id string, text string")
+    found = s.defects(s.evidence(scans, scans, spark.createDataFrame([], "text string"))).where("defect = 'misread'")
+    assert found.count() == 0
+    ev = s.evidence(scans, scans, spark.createDataFrame([], "text string"))
+    assert ev.fixes.where("word = right").count() == 0
