@@ -3,7 +3,7 @@
 Every sentence of running text gets a distribution over the three bands from a regularised linear model of its words and
 character four-grams; a document's mean sentence distribution, weighted by words, goes through a second, calibrated model
 to its difficulty (0 easy to 1 demanding) and its band.  Both models are fitted on a bounded sample of labelled documents
-(``MAX_LABELLED``, by hash order); every document is scored from its whole text.
+(``MAX_LABELLED`` of at most ``MAX_CHARS`` characters, by hash order); every document is scored from its whole text.
 
 Headings, list entries and table rows are not running text.  Null or empty texts and texts without a sentence have a
 null difficulty and band.  Labels with nulls are left out, repeated label rows count once, raters who disagree share the
@@ -26,8 +26,9 @@ from tessera.llm.quality import _among, word_hashes
 from tessera.plans.tables import table
 
 BANDS = ("basic", "middle", "advanced")
-#: Labelled documents the models are fitted on, at most.
-MAX_LABELLED = 1500
+#: Labelled documents the models are fitted on, at most, and how long one may be to be among them: 30 million characters in
+#: all.
+MAX_LABELLED, MAX_CHARS = 1500, 20_000
 #: Share of a language's frequent words that settles it for a line.
 CLEAR = 0.12
 GRAM = 4
@@ -198,11 +199,13 @@ def fit(texts: list[str], target: np.ndarray) -> Model:
 
 
 def labelled(documents: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> pd.DataFrame:
-    """(text, basic, middle, advanced): at most ``limit`` labelled documents with the shares of their raters' bands."""
+    """(text, basic, middle, advanced): at most ``limit`` labelled documents with the shares of their raters' bands; longer
+    ones than ``MAX_CHARS`` are not taken."""
     votes = labels.where(F.col("doc_id").isNotNull() & F.col("band").isin(*BANDS)).select("doc_id", "rater", "band").distinct()
     shares = votes.groupBy("doc_id").agg(*[F.avg((F.col("band") == b).cast("double")).alias(b) for b in BANDS])
-    some = shares.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
+    short = documents.where(F.col("text").isNotNull() & (F.length("text") <= MAX_CHARS))
+    some = shares.join(short.select("doc_id").distinct(), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    texts = short.select("doc_id", "text")
     return texts.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
 
 
