@@ -111,8 +111,12 @@ def leaks(documents: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and items with at least 14 consecutive words in common."""
-    hits = seed_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
-    return hits.where(F.col("n_masks") == len(MASKS)).select("doc_id", "item_id").distinct()
+    return p6_leaks(spark, sf_dir).where(F.col("exact_run") >= RUN).select("doc_id", "item_id")
+
+
+def p6_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the longest run of words that both have."""
+    return p6_leaks(spark, sf_dir).where(F.col("exact_run") >= RUN).select("doc_id", "item_id", F.col("exact_run").cast("long").alias("exact_run"))
 
 
 def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

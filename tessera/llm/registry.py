@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_defects": pairs.p5_defects,
     "p5_patterns": pairs.p5_patterns,
     "p6_found": leaks.p6_found,
+    "p6_runs": leaks.p6_runs,
     "p6_leaks": leaks.p6_leaks,
     "p7_found": mixing.p7_found,
     "p7_reach": mixing.p7_reach,
@@ -78,6 +79,13 @@ d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE text IS N
 x AS (SELECT item_id, unnest({_RUNS.format("w", 14)}) AS r FROM i WHERE len(w) >= 14),
 y AS (SELECT doc_id, unnest({_RUNS.format("w", 14)}) AS r FROM d WHERE len(w) >= 14)
 SELECT DISTINCT y.doc_id, x.item_id FROM y JOIN x ON x.r = y.r""",
+    "p6_runs": f"""WITH i AS (SELECT item_id, {_WORDS.format("text")} AS w FROM eval_items WHERE text IS NOT NULL),
+d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE text IS NOT NULL),
+x AS (SELECT item_id, unnest({_RUNS.format("w", 14)}) AS r, generate_subscripts({_RUNS.format("w", 14)}, 1) AS q FROM i WHERE len(w) >= 14),
+y AS (SELECT doc_id, unnest({_RUNS.format("w", 14)}) AS r, generate_subscripts({_RUNS.format("w", 14)}, 1) AS p FROM d WHERE len(w) >= 14),
+m AS (SELECT doc_id, item_id, p - q AS diagonal, p, p - row_number() OVER (PARTITION BY doc_id, item_id, p - q ORDER BY p) AS island FROM (SELECT DISTINCT y.doc_id, x.item_id, y.p, x.q FROM y JOIN x ON x.r = y.r)),
+l AS (SELECT doc_id, item_id, count(*) + 13 AS n FROM m GROUP BY doc_id, item_id, diagonal, island)
+SELECT doc_id, item_id, CAST(max(n) AS BIGINT) AS exact_run FROM l GROUP BY doc_id, item_id""",
     "p7_found": r"""WITH s AS (SELECT lower(regexp_replace(trim(source), '[^\p{L}\p{N}]+', '_', 'g')) AS source, sum(length(text)) AS size FROM documents GROUP BY 1),
 a AS (SELECT sum(size) AS whole FROM s)
 SELECT w.source FROM source_weights w CROSS JOIN a LEFT JOIN s ON s.source = w.source WHERE coalesce(s.size, 0) * w.max_uses < w.target_share * a.whole""",
