@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from tessera.functions.text import strip
 from tessera.operators.answers import records, with_results
 from tessera.operators.embedding import Embedder
+from tessera.operators.retrieval import relax
 from tessera.operators.store import Collection
+from tessera.plans.tables import stored
 
 Answerer = Callable[[str, list[str]], str]
 NOT_FOUND = "No passage was found."
@@ -42,11 +44,21 @@ def answer(asked: DataFrame, answerer: Answerer = first_passage) -> DataFrame:
     return asked.select("category", "id", "text", "result").mapInPandas(run, "category string, id long, answer string, error string")
 
 
-def answer_batch(questions: DataFrame, collection: Collection, embedder: Embedder, answerer: Answerer = first_passage, limit: int = 5, score_threshold: float | None = None, keep_results: bool = True) -> DataFrame:
-    """Records (category, q_pos, id, query, result, answer); ``keep_results=False`` leaves every result empty."""
-    keyed = questions.withColumn("query_id", F.xxhash64("category", "id", "q_pos"))
-    hits = collection.retrieve(keyed.select("query_id", "text"), embedder, limit, score_threshold)
+def answer_batch(
+    questions: DataFrame, collection: Collection, embedder: Embedder, answerer: Answerer = first_passage, limit: int = 5,
+    score_threshold: float | None = None, keep_results: bool = True, thresholds: tuple[float, ...] | None = None,
+) -> DataFrame:
+    """Records (category, q_pos, id, query, result, answer); ``keep_results=False`` leaves every result empty.
+
+    With ``thresholds`` each question takes the passages at the highest of them that gives it any; a question with none at
+    the lowest is answered without passages.
+    """
+    keyed = stored(questions.withColumn("query_id", F.xxhash64("category", "id", "q_pos")))
+    hits = collection.retrieve(keyed.select("query_id", "text"), embedder, limit, min(thresholds) if thresholds else score_threshold)
+    if thresholds:
+        hits = relax(hits, thresholds)
     found = hits.drop("id").join(keyed.select("query_id", "category", "id"), "query_id").select("category", "id", "position", F.col("text").alias("content"))
+    found = stored(found)
     asked = with_results(questions, found)
     return records(questions, answer(asked, answerer).drop("error"), found if keep_results else None)
 

@@ -1,26 +1,32 @@
 """A collection of chunks with vectors, kept as parquet.
 
-Each upsert appends a generation; a read takes the latest generation of each id; compaction rewrites the collection as
-one generation beside the old one and then switches to it.  A repeated id within one batch keeps its largest row.  A
-collection has a fixed vector size; a batch with another size is refused before anything is written.
+Each upsert or deletion is one Spark write, partitioned by its generation; a small table of states names the generations
+that are live.  A read takes the last generation of each id and leaves out deleted ones; compaction writes what a read
+gives as one generation and makes that the only live one, by itself once enough rows are replaced.  A repeated id within
+one batch keeps its largest row.  A collection has a fixed vector size; a batch with another size fails and changes
+nothing.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.answers import latest
 from tessera.operators.embedding import DIMENSIONS, Embedder, embedded
-from tessera.operators.retrieval import retrieve
-from tessera.plans.tables import work_dir
+from tessera.operators.retrieval import ListIndex, retrieve, top
+from tessera.plans.states import States
+from tessera.plans.tables import stored, work_dir
 
 COLUMNS = ("id", "doc_id", "chunk_id", "text", "vector")
 SCHEMA = "id string, doc_id string, chunk_id int, text string, vector array<float>"
+#: Rows that go to every task, at most: ids with their generation, or hits.
+SMALL = 500_000
+#: Live generations, at most, before they are compacted whatever they replace.
+MAX_GENERATIONS = 16
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
@@ -28,94 +34,121 @@ def upserted(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("id",)) ->
     return old.join(new.select(*keys), list(keys), "left_anti").unionByName(new)
 
 
+def _checked(rows: DataFrame) -> DataFrame:
+    """The rows, to be sent to every task if they are few enough."""
+    rows = stored(rows)
+    return F.broadcast(rows) if rows.count() <= SMALL else rows
+
+
 @dataclass
 class Collection:
-    """``location`` is a folder all executors share; None puts it under the session's checkpoint folder."""
+    """``location`` is a folder all executors share; None puts it under the session's checkpoint folder.  A collection of
+    more than ``index_above`` rows is searched through inverted lists; by default it never is."""
 
     spark: SparkSession
     name: str = "collection"
     dimensions: int = DIMENSIONS
     location: str | None = None
+    index_above: int | None = None
 
     def __post_init__(self) -> None:
         self.root = f"{self.location.rstrip('/')}/{self.name}" if self.location else work_dir(self.spark)
-
-    def _fs(self):  # type: ignore[no-untyped-def]
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        return path, path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _versions(self) -> list[str]:
-        """Names of the published states, oldest first."""
-        path, fs = self._fs()
-        if not fs.exists(path(self.root)):
-            return []
-        return sorted(f.getPath().getName() for f in fs.listStatus(path(self.root)) if f.getPath().getName().startswith("state-"))
-
-    def _state(self) -> dict:
-        names = self._versions()
-        if not names:
-            return {"generations": []}
-        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.root}/{names[-1]}").collect()))
-
-    def _switch(self, generations: list[str]) -> None:
-        """Publish the list of generations as the next state, by a rename: a reader sees the old list or the new one."""
-        path, fs = self._fs()
-        names = self._versions()
-        number = int(names[-1][6:-5]) + 1 if names else 0
-        fresh = path(f"{self.root}/next-{uuid.uuid4().hex}")
-        out = fs.create(fresh, True)
-        out.write(bytearray(json.dumps({"generations": generations, "dimensions": self.dimensions}).encode()))
-        out.close()
-        if not fs.rename(fresh, path(f"{self.root}/state-{number:09d}.json")):
-            raise RuntimeError("another writer changed the collection at the same time")
+        self.states = States(self.spark, f"{self.root}/states", "generations array<string>, dimensions int, batch long")
 
     def exists(self) -> bool:
-        return bool(self._state()["generations"])
-
-    def upsert(self, rows: DataFrame) -> None:
-        """Append rows (id, doc_id, chunk_id, text, vector); later generations win on read."""
-        if not rows.where((F.size("vector") != self.dimensions) & F.col("vector").isNotNull()).isEmpty():
-            raise ValueError(f"vectors of this collection have {self.dimensions} dimensions")
-        name = f"g{len(self._state()['generations']):06d}-{uuid.uuid4().hex[:8]}"
+        return self.states.last() is not None
+
+    def _write(self, rows: DataFrame, state: Row | None) -> str:
+        """Rows with a flag ``deleted`` as a generation, whose name sorts after those before."""
+        name = f"{state.serial + 1 if state else 0:09d}-{uuid.uuid4().hex[:8]}"
+        size = F.col("vector").isNull() | (F.size("vector") == self.dimensions)
+        vector = F.when(size, F.col("vector")).otherwise(F.raise_error(F.lit(f"vectors of this collection have {self.dimensions} dimensions")))
+        out = rows.select("id", "doc_id", "chunk_id", "text", vector.alias("vector"), "deleted", F.lit(name).alias("generation"))
+        out.write.mode("append").partitionBy("generation").option("compression", "zstd").parquet(f"{self.root}/rows")
+        return name
+
+    def _append(self, rows: DataFrame, batch: int | None = None) -> None:
+        state = self.states.last()
+        live, last = (list(state.generations), state.batch) if state else ([], None)
+        if batch is not None and last is not None and batch <= last:
+            return  # a micro-batch that is repeated after a failure
+        name = self._write(rows, state)
+        self.states.publish(state, [*live, name], self.dimensions, batch if batch is not None else last)
+        if self.wants_compaction():
+            self.compact()
+
+    def upsert(self, rows: DataFrame, batch: int | None = None) -> None:
+        """Append rows (id, doc_id, chunk_id, text, vector); later generations win on read.  A ``batch`` number that is not
+        above the last one changes nothing."""
         unique = rows.where("id is not null").select(*COLUMNS).groupBy("id").agg(F.max(F.struct(*COLUMNS[1:])).alias("r")).select("id", "r.*")
-        unique.select(*COLUMNS).write.option("compression", "zstd").parquet(f"{self.root}/{name}")
-        self._switch([*self._state()["generations"], name])
-
-    def add(self, chunks: DataFrame, embedder: Embedder, batch_size: int = 512) -> None:
-        """Embed and upsert chunks (id, doc_id, chunk_id, content)."""
-        rows = chunks.select("id", "doc_id", "chunk_id", F.col("content.text").alias("text"))
-        self.upsert(embedded(rows, embedder, self.dimensions, batch_size=batch_size))
+        self._append(unique.withColumn("deleted", F.lit(False)), batch)
+
+    def add(self, chunks: DataFrame, embedder: Embedder, batch_size: int = 512, batch: int | None = None) -> None:
+        """Embed and upsert chunks (id, doc_id, chunk_id, content); of a repeated id the largest text is embedded."""
+        rows = chunks.where("id is not null").select("id", "doc_id", "chunk_id", F.col("content.text").alias("text"))
+        unique = rows.groupBy("id").agg(F.max(F.struct("doc_id", "chunk_id", "text")).alias("r")).select("id", "r.*")
+        self._append(embedded(unique, embedder, self.dimensions, batch_size=batch_size).withColumn("deleted", F.lit(False)), batch)
+
+    def delete(self, ids: DataFrame) -> None:
+        """Take the rows of these ids out; ids that are not there change nothing."""
+        empty = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "string"), ("chunk_id", "int"), ("text", "string"), ("vector", "array<float>"))]
+        self._append(ids.where("id is not null").select("id").distinct().select("id", *empty, F.lit(True).alias("deleted")))
+
+    def _live(self) -> tuple[DataFrame, int]:
+        """All rows of the live generations, and how many these are."""
+        state = self.states.last()
+        names = list(state.generations) if state else []
+        try:
+            rows = self.spark.read.schema(f"{SCHEMA}, deleted boolean, generation string").parquet(f"{self.root}/rows")
+        except AnalysisException:
+            rows = self.spark.createDataFrame([], f"{SCHEMA}, deleted boolean, generation string")
+        return rows.where(F.col("generation").isin(names)), len(names)
 
     def read(self) -> DataFrame:
-        names = self._state()["generations"]
-        if not names:
-            return self.spark.createDataFrame([], SCHEMA)
-        parts = [self.spark.read.schema(SCHEMA).parquet(f"{self.root}/{g}").withColumn("_g", F.lit(k)) for k, g in enumerate(names)]
-        if len(parts) == 1:
-            return parts[0].drop("_g")
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
-        return latest(rows, ("id",), "_g").select(*COLUMNS)
+        """The rows that hold.  Where there are several generations, the last one of each repeated id is found on ids alone;
+        vectors and texts are not sorted or shuffled for it unless very many ids are repeated."""
+        rows, n = self._live()
+        if n > 1:
+            last = rows.groupBy("id").agg(F.max("generation").alias("_last"), F.count("*").alias("_n")).where("_n > 1").select("id", "_last")
+            rows = rows.join(_checked(last), "id", "left").where("_last is null or generation = _last")
+        return rows.where("not deleted").select(*COLUMNS)
 
     def compact(self) -> None:
         """One generation in the place of all; unchanged where there is only one."""
-        names = self._state()["generations"]
-        if len(names) > 1:
-            name = f"g{0:06d}-{uuid.uuid4().hex[:8]}"
-            self.read().write.option("compression", "zstd").parquet(f"{self.root}/{name}")
-            self._switch([name])
+        state = self.states.last()
+        if state and len(state.generations) > 1:
+            name = self._write(self.read().withColumn("deleted", F.lit(False)), state)
+            self.states.publish(state, [name], self.dimensions, state.batch)
 
     def wants_compaction(self, share: float = 0.2, least: int = 1000) -> bool:
-        """Are more than ``share`` of the stored rows, and ``least`` of them, replaced by later ones?"""
-        names = self._state()["generations"]
-        stored_rows = sum(self.spark.read.parquet(f"{self.root}/{g}").count() for g in names)
-        replaced = stored_rows - self.read().count()
-        return replaced >= least and replaced > share * stored_rows
+        """Are more than ``share`` of the stored rows, and ``least`` of them, replaced or deleted, or the generations too many?"""
+        rows, n = self._live()
+        if n < 2 or n > MAX_GENERATIONS:
+            return n > 1
+        per = rows.groupBy("id").agg(F.count("*").alias("n"), F.max(F.struct("generation", "deleted")).alias("last"))
+        total, live = per.agg(F.sum("n"), F.count_if(~F.col("last.deleted"))).first()
+        return (total or 0) - live >= least and (total or 0) - live > share * total
+
+    def index(self) -> ListIndex:
+        """Inverted lists over the rows that hold, made once a state."""
+        state = self.states.last()
+        made = ListIndex(self.spark, f"{self.root}/lists-{state.serial if state else 'none'}")
+        try:
+            self.spark.read.parquet(f"{made.folder}/centres")
+            made.id_type = "string"
+            return made
+        except AnalysisException:
+            return made.build(self.read().select("id", "vector"))
+
+    def nearest(self, asked: DataFrame, limit: int = 5, score_threshold: float | None = None) -> DataFrame:
+        """(query_id, position, id, score, text) for queries (query_id, vector); texts are read of the hits only."""
+        rows = self.read()
+        if self.index_above is not None and rows.count() > self.index_above:
+            found = top(self.index().search(asked, limit, score_threshold), limit).select("query_id", "position", "id", "score")
+        else:
+            found = retrieve(asked, rows.select("id", "vector"), limit, score_threshold)
+        return rows.select("id", "text").join(_checked(found), "id").select("query_id", "position", "id", "score", "text")
 
     def retrieve(self, queries: DataFrame, embedder: Embedder, limit: int = 5, score_threshold: float | None = None) -> DataFrame:
         """(query_id, position, id, score, text) for queries (query_id, text)."""
-        asked = embedded(queries.select("query_id", "text"), embedder, self.dimensions).select("query_id", "vector")
-        rows = self.read().withColumn("row", F.xxhash64("id"))
-        hits = retrieve(asked, rows.select(F.col("row").alias("id"), "vector"), limit, score_threshold).withColumnRenamed("id", "row")
-        return hits.join(rows.select("row", "id", "text"), "row").select("query_id", "position", "id", "score", "text")
+        return self.nearest(embedded(queries.select("query_id", "text"), embedder, self.dimensions).select("query_id", "vector"), limit, score_threshold)

@@ -31,8 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; only where that is unset (tests) under a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
+    """A new folder under ``spark.checkpoint.dir``; where that is unset, under a temporary folder if the master is local,
+    else an error, as executors would each write to a disk of their own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex[:12]}"
 
 

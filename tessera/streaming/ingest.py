@@ -1,7 +1,7 @@
 """Streaming ingest: files that arrive in a folder become chunks in a collection.
 
-Each micro-batch is upserted by chunk id, so a file seen twice, or a batch repeated after a failure, changes nothing and
-no state is kept between batches.
+Each micro-batch is upserted by chunk id under its number, so a file seen twice, or a batch repeated after a failure,
+changes nothing and no state is kept between batches; the collection compacts itself.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ def chunk_stream(texts: DataFrame, load_method: str = "overlap", chunk_size: int
 def ingest(spark: SparkSession, folder: str, collection: Collection, embedder: Embedder, checkpoint: str, load_method: str = "overlap", once: bool = True) -> StreamingQuery:
     """Start the ingest; with ``once`` it ends when all present files are in."""
 
-    def upsert(batch: DataFrame, _: int) -> None:
-        collection.add(chunk_stream(batch, load_method), embedder)
+    def upsert(batch: DataFrame, number: int) -> None:
+        collection.add(chunk_stream(batch, load_method), embedder, batch=number)
 
     writer = text_stream(spark, folder).writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -3,10 +3,12 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tessera.operators import answers as A
 from tessera.operators import questions as Q
+from tessera.operators import store
 from tessera.operators.batch_qa import answer, answer_batch, conversation
 from tessera.operators.embedding import hashing_embedder
 from tessera.operators.store import Collection
@@ -111,8 +113,56 @@ def test_collection_generations(spark):
     assert {(r.id, r.text) for r in base.read().collect()} == want
     base.compact()
     assert {(r.id, r.text) for r in base.read().collect()} == want and base.exists() and not base.wants_compaction()
-    with pytest.raises(ValueError):
+    with pytest.raises(PySparkException, match="2 dimensions"):
         base.upsert(spark.createDataFrame([("a", "d", 0, "t", [1.0])], schema))
+    assert {(r.id, r.text) for r in base.read().collect()} == want
+    base.delete(spark.createDataFrame([("a",), ("zzz",), (None,)], "id string"))
+    assert {(r.id, r.text) for r in base.read().collect()} == {("b", "2")}
+    base.upsert(spark.createDataFrame([row("a", "4")], schema), batch=7)
+    base.upsert(spark.createDataFrame([row("a", "5")], schema), batch=7)  # the batch is repeated
+    assert {(r.id, r.text) for r in base.read().collect()} == {("b", "2"), ("a", "4")}
+
+
+def test_collection_compacts_itself(spark, monkeypatch):
+    monkeypatch.setattr(store, "MAX_GENERATIONS", 3)
+    base = Collection(spark, dimensions=2)
+    schema = "id string, doc_id string, chunk_id int, text string, vector array<float>"
+    for k in range(6):
+        base.upsert(spark.createDataFrame([("a", "d", 0, str(k), [1.0, 0.0]), (f"b{k}", "d", 0, str(k), [0.0, 1.0])], schema))
+        assert len(base.states.last().generations) <= 3
+    assert {(r.id, r.text) for r in base.read().collect()} == {("a", "5"), *((f"b{k}", str(k)) for k in range(6))}
+    many = spark.range(3000).selectExpr("cast(id as string) id", "'d' doc_id", "0 chunk_id", "'t' text", "array(1f, 0f) vector")
+    base = Collection(spark, dimensions=2)
+    base.upsert(many)
+    base.delete(many.where("id < 2000").select("id"))
+    assert len(base.states.last().generations) == 1 and base.read().count() == 1000
+
+
+def test_two_writers(spark):
+    base = Collection(spark, dimensions=2)
+    schema = "id string, doc_id string, chunk_id int, text string, vector array<float>"
+    base.upsert(spark.createDataFrame([("a", "d", 0, "1", [1.0, 0.0])], schema))
+    old = base.states.last()
+    results = []
+    for name in ("x", "y"):
+        try:
+            results.append(base.states.publish(old, [name], 2, None).generations)
+        except RuntimeError:
+            results.append(None)
+    assert base.states.last().generations in results
+
+
+def test_collection_through_lists(spark):
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = e.selectExpr("cast(vec_id as string) id", "'d' doc_id", "0 chunk_id", "concat('t', vec_id) text", "embedding vector")
+    asked = e.where("vec_id % 100 = 0").selectExpr("vec_id query_id", "embedding vector")
+    base = Collection(spark, dimensions=64)
+    base.upsert(rows)
+    exact = {(r.query_id, r.id, r.text) for r in base.nearest(asked, 10).collect()}
+    base.index_above = 100
+    for _ in range(2):  # the second search finds the lists made by the first
+        found = {(r.query_id, r.id, r.text) for r in base.nearest(asked, 10).collect()}
+        assert len(exact & found) >= 0.9 * len(exact) and all(t == "t" + i for _, i, t in found)
 
 
 def test_conversation_ends(spark):
