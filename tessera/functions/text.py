@@ -32,11 +32,6 @@ def chunk_key(doc_id: Column, index: Column) -> Column:
     return F.concat(doc_id, F.lit("-"), index.cast("string"))
 
 
-def tail(c: Column, n: int) -> Column:
-    """The last n code points; n = 0 gives the whole string, as the slice from -0 does."""
-    return c if n == 0 else F.right(c, F.lit(n))
-
-
 def preview(c: Column, n: int) -> Column:
     """The first n code points, always followed by three dots."""
     return F.concat(F.substring(c, 1, n), F.lit("..."))
@@ -70,6 +65,6 @@ def json_string(c: Column) -> Column:
     return F.coalesce(F.concat(F.lit('"'), escaped, F.lit('"')), F.lit("null"))
 
 
-def page_line(c: Column) -> Column:
-    """A line as it is laid out: without its newline, with the ideographic space as a plain one."""
-    return F.translate(F.regexp_replace(c, r"\n\z", ""), "　", " ")
+def plain_spaces(c: Column) -> Column:
+    """The ideographic space as a plain one, as a laid-out line has it."""
+    return F.translate(c, "　", " ")

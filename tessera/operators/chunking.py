@@ -4,20 +4,26 @@ Every chunker takes a DataFrame with a text column and gives all its other colum
 ``id, doc_id, chunk_id, total_chunks, content``.  Null texts and empty texts give no chunk; repeated rows give repeated
 chunks; columns of the input with a clashing name are dropped in favour of the chunk's.  Lengths count code points.
 
-Texts up to ``LONG_TEXT`` stay in the JVM; longer ones, for which repeated ``substring`` from the start would be
-quadratic, are cut in Arrow batches with the same result.
+Slices of texts up to ``LONG_TEXT`` are cut in the JVM; of longer ones, for which repeated ``substring`` from the start
+would be quadratic, and wherever units are packed or a splitter is given, texts are cut in Arrow batches, in linear time.
+Both ways give the same.
+
+Sentences are what stands between ideographic full stops unless a ``splitter`` is given, which takes a text and gives its
+sentences; ``rule_sentences`` is one for texts with full stops, question and exclamation marks.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import WHITE_CHARS, chunk_key, document_id, normalise_newlines, strip, tail
+from tessera.functions.text import WHITE_CHARS, chunk_key, document_id, normalise_newlines, strip
 
+Splitter = Callable[[str], list[str]]
 MARKER = r"--- Document Chunk \d+ ---"
 LONG_TEXT = 262_144
 OUTPUT = ("id", "doc_id", "chunk_id", "total_chunks", "content")
@@ -59,28 +65,9 @@ def plain_parts(text: Column, chunk_size: int) -> Column:
     return _solid(F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * chunk_size + 1, F.lit(chunk_size))))
 
 
-def units(text: Column, split_by: str) -> Column:
-    """Paragraphs are stripped non-blank lines; sentences are what stands between ideographic full stops."""
-    return _solid(F.split(text, "\n")) if split_by == "paragraph" else F.split(text, "。")
-
-
-def packed_parts(text: Column, split_by: str, chunk_size: int, overlap: int) -> Column:
-    """Greedy packing: a unit that would overfill a non-empty chunk closes it, and the next one starts with its tail."""
-    nothing = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
-
-    def add(acc: Column, unit: Column) -> Column:
-        full = (F.length(acc["cur"]) + F.length(unit) > chunk_size) & (acc["cur"] != "")
-        return F.struct(
-            F.when(full, F.array_append(acc["done"], acc["cur"])).otherwise(acc["done"]).alias("done"),
-            F.when(full, F.concat(tail(acc["cur"], overlap), unit)).otherwise(F.concat(acc["cur"], unit)).alias("cur"),
-        )
-
-    folded = F.aggregate(units(text, split_by), nothing, add, lambda acc: F.array_append(acc["done"], acc["cur"]))
-    return _solid(folded)
-
-
 # The same in Python, for Arrow batches of long texts.
 
+
 def char_pieces(text: str, chunk_size: int, overlap: int) -> list[str]:
     cut = (text[max(0, k - overlap) if overlap else 0 : k + chunk_size] for k in range(0, len(text), chunk_size))
     return [p for x in cut if (p := x.strip(WHITE_CHARS))]
@@ -90,14 +77,36 @@ def plain_pieces(text: str, chunk_size: int) -> list[str]:
     return [p for k in range(0, len(text), chunk_size) if (p := text[k : k + chunk_size].strip(WHITE_CHARS))]
 
 
-def packed_pieces(text: str, split_by: str, chunk_size: int, overlap: int) -> list[str]:
-    parts = [p for x in text.split("\n") if (p := x.strip(WHITE_CHARS))] if split_by == "paragraph" else text.split("。")
+_STOP = re.compile(r"[.!?][\"”’')\]]*(\s+)(?=[\"“‘'(\[]?[^\W\d_a-z])|[。！？][”’」』]*")
+
+
+def rule_sentences(text: str) -> list[str]:
+    """Sentences by their marks: after a full stop, question or exclamation mark and what closes it, before a word that
+    begins neither in lower case nor with a figure; after an ideographic mark anywhere.  White space between them goes."""
+    out, last = [], 0
+    for m in _STOP.finditer(text):
+        out.append(text[last : m.start(1) if m.group(1) else m.end()])
+        last = m.end()
+    return [x for x in [*out, text[last:]] if x]
+
+
+def units(text: str, split_by: str, splitter: Splitter | None = None) -> list[str]:
+    """Paragraphs are stripped lines that are not blank; sentences are the splitter's, by default what stands between
+    ideographic full stops."""
+    if split_by == "paragraph":
+        return [p for x in text.split("\n") if (p := x.strip(WHITE_CHARS))]
+    return splitter(text) if splitter else text.split("。")
+
+
+def packed_pieces(text: str, split_by: str, chunk_size: int, overlap: int, splitter: Splitter | None = None, whole: bool = True) -> list[str]:
+    """Greedy packing: a unit that would overfill a chunk that is not empty closes it, and the next one starts with its tail;
+    without overlap with the whole chunk before, unless ``whole`` is false."""
     done, cur, size = [], [], 0
-    for u in parts:
+    for u in units(text, split_by, splitter):
         if size and size + len(u) > chunk_size:
-            whole = "".join(cur)
-            done.append(whole)
-            cur = [whole[-overlap:] if overlap else whole, u]
+            made = "".join(cur)
+            done.append(made)
+            cur = [made[-overlap:] if overlap else made if whole else "", u]
             size = len(cur[0]) + len(u)
         else:
             cur.append(u)
@@ -105,8 +114,13 @@ def packed_pieces(text: str, split_by: str, chunk_size: int, overlap: int) -> li
     return [p for x in [*done, "".join(cur)] if (p := x.strip(WHITE_CHARS))]
 
 
-def chunk(texts: DataFrame, parts: Callable[[Column], Column], pieces: Callable[[str], list[str]] | None = None, text: str = "text") -> DataFrame:
-    """Chunks of every text by the column function ``parts``; longer texts by ``pieces``."""
+def unit_pieces(text: str, split_by: str, chunk_size: int, splitter: Splitter | None = None) -> list[str]:
+    """Each unit by itself, cut where it is longer than the size."""
+    return [p for u in units(text, split_by, splitter) for p in plain_pieces(u, chunk_size)]
+
+
+def chunk(texts: DataFrame, parts: Callable[[Column], Column] | None, pieces: Callable[[str], list[str]] | None = None, text: str = "text") -> DataFrame:
+    """Chunks of every text by the column function ``parts``, of longer texts, or without it of all, by ``pieces``."""
     kept = [c for c in texts.columns if c not in (text, *OUTPUT)]
     present = texts.where(F.col(text).isNotNull())
     body = lambda rows: rows.select(*kept, normalise_newlines(F.col(text)).alias("_text"))
@@ -122,11 +136,13 @@ def chunk(texts: DataFrame, parts: Callable[[Column], Column], pieces: Callable[
         return table(body(present), parts(F.col("_text")))
 
     @F.pandas_udf("array<string>")
-    def long_parts(x: pd.Series) -> pd.Series:
+    def cut(x: pd.Series) -> pd.Series:
         return x.map(pieces)
 
+    if parts is None:
+        return table(body(present), cut("_text"))
     short, long = present.where(F.length(text) <= LONG_TEXT), present.where(F.length(text) > LONG_TEXT)
-    return table(body(short), parts(F.col("_text"))).unionByName(table(body(long), long_parts("_text")))
+    return table(body(short), parts(F.col("_text"))).unionByName(table(body(long), cut("_text")))
 
 
 def prechunked(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -134,30 +150,32 @@ def prechunked(texts: DataFrame, text: str = "text") -> DataFrame:
     return chunk(texts, prechunked_parts, text=text)
 
 
-def overlapped(texts: DataFrame, chunk_size: int = 1024, overlap: int = 200, split_by: str = "char", text: str = "text", compat: bool = True) -> DataFrame:
-    """Overlapping chunks.  With overlap 0 a chunk starts with the whole one before it, as the packing rule has it;
-    ``compat=False`` takes no tail then."""
+def overlapped(
+    texts: DataFrame, chunk_size: int = 1024, overlap: int = 200, split_by: str = "char", text: str = "text", compat: bool = False, splitter: Splitter | None = None
+) -> DataFrame:
+    """Overlapping chunks.  With overlap 0 a chunk has no tail of the one before it; ``compat=True`` starts it with the
+    whole one before, as the packing rule has it taken by the letter, which gives output quadratic in the text."""
     check(chunk_size, overlap, split_by)
-    if overlap == 0 and not compat and split_by == "char":
-        return direct(texts, chunk_size, text)
+    if split_by != "char":
+        return chunk(texts, None, lambda t: packed_pieces(t, split_by, chunk_size, overlap, splitter, compat), text)
     if overlap == 0 and not compat:
-        raise ValueError("without overlap, only char chunks have a plain form")
-    if split_by == "char":
-        return chunk(texts, lambda c: char_parts(c, chunk_size, overlap), lambda t: char_pieces(t, chunk_size, overlap), text)
-    return chunk(texts, lambda c: packed_parts(c, split_by, chunk_size, overlap), lambda t: packed_pieces(t, split_by, chunk_size, overlap), text)
+        return direct(texts, chunk_size, text=text)
+    return chunk(texts, lambda c: char_parts(c, chunk_size, overlap), lambda t: char_pieces(t, chunk_size, overlap), text)
 
 
-def direct(texts: DataFrame, chunk_size: int = 1024, text: str = "text") -> DataFrame:
-    """Slices of the size without overlap."""
-    check(chunk_size)
+def direct(texts: DataFrame, chunk_size: int = 1024, split_by: str = "char", text: str = "text", splitter: Splitter | None = None) -> DataFrame:
+    """Slices of the size without overlap, or each sentence or paragraph by itself, cut where it is longer than the size."""
+    check(chunk_size, split_by=split_by)
+    if split_by != "char":
+        return chunk(texts, None, lambda t: unit_pieces(t, split_by, chunk_size, splitter), text)
     return chunk(texts, lambda c: plain_parts(c, chunk_size), lambda t: plain_pieces(t, chunk_size), text)
 
 
-def marked(chunks: DataFrame) -> DataFrame:
-    """(doc_id, text): chunk texts behind numbered markers, in order; the inverse of ``prechunked``."""
+def marked(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, text): chunk texts behind numbered markers, in order; the inverse of ``prechunked``."""
     entry = F.concat(F.lit("--- Document Chunk "), (F.col("chunk_id") + 1).cast("string"), F.lit(" ---\n"), F.col("content.text"), F.lit("\n\n"))
-    rows = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", entry.alias("entry")))).alias("rows"))
-    return rows.select("doc_id", F.array_join(F.transform("rows", lambda r: r["entry"]), "").alias("text"))
+    rows = chunks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("chunk_id", entry.alias("entry")))).alias("rows"))
+    return rows.select(key, F.array_join(F.transform("rows", lambda r: r["entry"]), "").alias("text"))
 
 
 def pages(texts: DataFrame, text: str = "text") -> DataFrame:

@@ -17,7 +17,10 @@ ITEM = r"(?s)(\p{Nd}+)\.\s+(.+?)(?=\n\p{Nd}+\.|\n?\z)"
 
 
 def categories(sheets: DataFrame, sheet: str = "text", key: str | None = None) -> DataFrame:
-    """([key], cat_pos, category, body): the categories of each sheet, also those without questions."""
+    """([key], cat_pos, category, body): the categories of each sheet, also those without questions.
+
+    Without a key the rows are one sheet, whose categories are numbered in one task; many sheets need a key.
+    """
     kept = [key] if key else []
     names = F.regexp_extract_all(F.col(sheet), F.lit(HEADER), F.lit(1))
     bodies = F.expr(f"slice(split(`{sheet}`, '{HEADER}'), 2, greatest(size(split(`{sheet}`, '{HEADER}')) - 1, 0))".replace("\\", "\\\\"))

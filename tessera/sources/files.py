@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import file_stem, normalise_newlines
+from tessera.functions.text import file_stem, normalise_newlines, plain_spaces
 from tessera.operators import chunking
 
 Extractor = Callable[[bytes], list[str]]
@@ -38,15 +38,17 @@ def texts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
-def load(spark: SparkSession, folder: str, load_method: str = "chunked", chunk_size: int = 1024, overlap: int = 200, split_by: str = "char") -> DataFrame:
+def load(
+    spark: SparkSession, folder: str, load_method: str = "chunked", chunk_size: int = 1024, overlap: int = 200, split_by: str = "char", splitter: chunking.Splitter | None = None
+) -> DataFrame:
     """Chunks of all texts of a folder; a method other than ``chunked`` and ``overlap`` is taken as ``direct``."""
     good, _ = texts(spark, folder)
     if load_method == "chunked":
         out = chunking.prechunked(good)
     elif load_method == "overlap":
-        out = chunking.overlapped(good, chunk_size, overlap, split_by)
+        out = chunking.overlapped(good, chunk_size, overlap, split_by, splitter=splitter)
     else:
-        out = chunking.direct(good, chunk_size)
+        out = chunking.direct(good, chunk_size, split_by, splitter=splitter)
     return out.withColumn("load_method", F.lit(load_method))
 
 
@@ -82,6 +84,24 @@ def pdf_text_extractor() -> Extractor:
     return lambda content: [p.extract_text() for p in pypdf.PdfReader(io.BytesIO(content)).pages]
 
 
+def page_text(pages: DataFrame) -> DataFrame:
+    """(path, name, text): extracted pages as one page-marked text a file, named after the file; files that failed are left
+    out."""
+    return _named(chunking.page_marked(pages.where("error is null").select("path", "page_no", "text")))
+
+
+def marked_text(pages: DataFrame, chunk_size: int = 800, split_by: str = "paragraph", splitter: chunking.Splitter | None = None) -> DataFrame:
+    """(path, name, text): extracted pages as one chunk-marked text a file; the pages of a file are joined by newlines and
+    cut as ``direct`` does."""
+    rows = pages.where("error is null").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("p"))
+    texts = rows.select("path", F.array_join(F.transform("p", lambda x: F.coalesce(x["text"], F.lit(""))), "\n").alias("text"))
+    return _named(chunking.marked(chunking.direct(texts, chunk_size, split_by, splitter=splitter), "path"))
+
+
+def _named(texts: DataFrame) -> DataFrame:
+    return texts.select("path", F.concat(file_stem(F.col("path")), F.lit(".txt")).alias("name"), "text")
+
+
 def encodings(files: DataFrame, detect: Callable[[bytes], str | None] | None = None) -> DataFrame:
     """(path, encoding) by the first 4,096 bytes; without a detector by byte order marks and UTF-8 validity."""
 
@@ -116,7 +136,7 @@ def wrapped_lines(texts_: DataFrame, width: float, measure: Callable[[str], floa
     def wrap(s: str) -> list[str]:
         out: list[str] = []
         for raw in s.split("\n"):
-            x = raw.replace("\u3000", " ")
+            x = raw
             if not x.strip():
                 out.append("")
                 continue
@@ -133,7 +153,7 @@ def wrapped_lines(texts_: DataFrame, width: float, measure: Callable[[str], floa
     def lines(s: pd.Series) -> pd.Series:
         return s.map(wrap, na_action="ignore")
 
-    return texts_.select(*kept, F.posexplode(lines(F.col(text))).alias("line_no", "line"))
+    return texts_.select(*kept, F.posexplode(lines(plain_spaces(F.col(text)))).alias("line_no", "line"))
 
 
 def stem_collisions(paths: DataFrame) -> DataFrame:

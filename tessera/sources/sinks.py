@@ -1,15 +1,13 @@
-"""Writers: answer files and chunk-marked texts."""
+"""Writers: answer files and named texts."""
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import file_stem
 from tessera.operators.answers import lines
-from tessera.operators.chunking import marked
 
 
 def default_name(now: datetime | None = None) -> str:
@@ -27,10 +25,11 @@ def write_answers(records: DataFrame, path: str | None = None, three: bool = Fal
     return target
 
 
-def write_marked(chunks: DataFrame, path: str) -> None:
-    """One text of numbered chunk markers a document."""
-    marked(chunks).select("doc_id", "text").write.partitionBy("doc_id").option("lineSep", "").text(path)
-
-
-def page_text_names(paths: DataFrame) -> DataFrame:
-    return paths.select("path", F.concat(file_stem(F.col("path")), F.lit(".txt")).alias("name"))
+def write_texts(texts: DataFrame, path: str) -> None:
+    """Write named texts (name, text) as JSON lines, many a file.  Texts of one name are numbered from the second on, as one
+    would otherwise take the other's place."""
+    order = Window.partitionBy("name").orderBy(*[c for c in ("path", "text") if c in texts.columns])
+    again = F.row_number().over(order)
+    stem = F.regexp_replace("name", r"\.txt$", "")
+    named = texts.withColumn("_n", again).select(F.when(F.col("_n") == 1, F.col("name")).otherwise(F.concat(stem, F.lit("-"), F.col("_n").cast("string"), F.lit(".txt"))).alias("name"), "text")
+    named.write.json(path)

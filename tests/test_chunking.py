@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -52,9 +53,9 @@ def test_columns_and_python_agree(spark, monkeypatch):
     data = ["".join(rng.choice("abc d\n。😀　") for _ in range(rng.randrange(90))) for _ in range(40)] + ["", None, "x", " \n "]
     for overlap in (0, 3):
         for by in ("char", "sentence", "paragraph"):
-            short = C.overlapped(texts(spark, *data), 10, overlap, by)
+            short = C.overlapped(texts(spark, *data), 10, overlap, by, compat=True)
             monkeypatch.setattr(C, "LONG_TEXT", -1)
-            long = C.overlapped(texts(spark, *data), 10, overlap, by)
+            long = C.overlapped(texts(spark, *data), 10, overlap, by, compat=True)
             monkeypatch.setattr(C, "LONG_TEXT", 262_144)
             assert bodies(short) == bodies(long)
             one = {"char": lambda t: C.char_pieces(t, 10, overlap)}.get(by, lambda t: C.packed_pieces(t, by, 10, overlap))
@@ -85,8 +86,37 @@ def test_long_unit_is_kept(spark):
 
 
 def test_no_overlap_forms(spark):
-    assert bodies(C.overlapped(texts(spark, "abcdef"), 2, 0)) == ["ab", "abcd", "abcdef"]
-    assert bodies(C.overlapped(texts(spark, "abcdef"), 2, 0, compat=False)) == ["ab", "cd", "ef"]
+    assert bodies(C.overlapped(texts(spark, "abcdef"), 2, 0, compat=True)) == ["ab", "abcd", "abcdef"]
+    assert bodies(C.overlapped(texts(spark, "abcdef"), 2, 0)) == ["ab", "cd", "ef"]
+    assert bodies(C.overlapped(texts(spark, "ab\ncd\nef"), 4, 0, "paragraph")) == ["abcd", "ef"]
+    assert bodies(C.overlapped(texts(spark, "ab\ncd\nef"), 4, 0, "paragraph", compat=True)) == ["abcd", "abcdef"]
+
+
+def test_direct_units(spark):
+    t = " one line \n\nanother, longer line\nx"
+    assert bodies(C.direct(texts(spark, t, None, ""), 10, "paragraph")) == ["one line", "another, l", "onger line", "x"]
+    assert bodies(C.direct(texts(spark, "一。二三。 。四"), 10, "sentence")) == ["一", "二三", "四"]
+
+
+def test_splitter_is_a_parameter(spark):
+    t = 'The lamp failed. "Was it no. 5?" It was! 一。二！ end'
+    assert C.rule_sentences(t) == ["The lamp failed.", '"Was it no. 5?"', "It was!", "一。", "二！", " end"]
+    assert C.rule_sentences("One here. Two there? no. 3 stays. Four") == ["One here.", "Two there? no. 3 stays.", "Four"] and C.rule_sentences("") == []
+    words = lambda x: x.split(" ")
+    assert bodies(C.direct(texts(spark, "ab cde f"), 2, "sentence", splitter=words)) == ["ab", "cd", "e", "f"]
+    assert bodies(C.overlapped(texts(spark, "ab cde f"), 4, 1, "sentence", splitter=words)) == ["ab", "bcde", "ef"]
+
+
+def test_packing_takes_linear_time():
+    """Doubling a text of many short lines doubles the time, roughly."""
+    def seconds(n):
+        t = "a short line of text\n" * n
+        began = time.perf_counter()
+        C.packed_pieces(t, "paragraph", 1024, 200)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(200_000) < 8 * max(seconds(50_000), 0.02)
 
 
 def test_bad_parameters():

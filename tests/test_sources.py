@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import pytest
 
+from tessera.operators.chunking import prechunked
 from tessera.operators.embedding import hashing_embedder
 from tessera.operators.store import Collection
 from tessera.sources import files
+from tessera.sources.sinks import write_texts
 from tessera.streaming.ingest import ingest
 
 
@@ -47,6 +49,22 @@ def test_pdf_seam(spark, tmp_path):
     assert [r.error for r in rows if r.error] == ["not a document"]
 
 
+def test_extracted_files_are_written(spark, tmp_path):
+    """From PDFs to page-marked and to chunk-marked texts by file name; a bad file is left out, equal names are kept apart."""
+    put(tmp_path / "in", "a.PDF", "one\n\ntwo|three")
+    put(tmp_path / "in/deep", "a.pdf", "x" * 12)
+    put(tmp_path / "in", "bad.pdf", b"\xff")
+    pages = files.extracted_pages(files.pdf_files(spark, f"file://{tmp_path}/in"), lambda b: b.decode().split("|"))
+    got = {}
+    for kind, texts in (("pages", files.page_text(pages)), ("chunks", files.marked_text(pages, 8))):
+        write_texts(texts, f"file://{tmp_path}/{kind}")
+        got[kind] = {r.name: r.text for r in spark.read.json(f"file://{tmp_path}/{kind}").collect()}
+    assert sorted(got["pages"].values()) == ["\n--- Page 1 ---\none\n\ntwo\n--- Page 2 ---\nthree", "\n--- Page 1 ---\n" + "x" * 12]
+    assert set(got["pages"]) == set(got["chunks"]) == {"a.txt", "a-2.txt"}
+    back = prechunked(spark.read.json(f"file://{tmp_path}/chunks"))
+    assert sorted(r.content.text for r in back.collect()) == sorted(["one", "two", "three", "x" * 8, "x" * 4])
+
+
 def test_encodings(spark, tmp_path):
     for n, d in (("a", b"plain"), ("b", "é".encode()), ("c", b"\xef\xbb\xbfx"), ("d", b"\xff\xfex\0"), ("f", b"\xe9 latin")):
         put(tmp_path, n, d)

@@ -37,11 +37,6 @@ def test_json_string(spark):
     assert spark.sql("select cast(null as string) t").select(T.json_string(F.col("t"))).first()[0] == "null"
 
 
-def test_tail_of_nothing_is_the_whole(spark):
-    df = spark.sql("select 'abcdef' t").select(T.tail(F.col("t"), 0), T.tail(F.col("t"), 2))
-    assert tuple(df.first()) == ("abcdef", "ef")
-
-
 def test_cosine(spark):
     df = spark.sql("select array(3f, 4f) a, array(4f, 3f) b, array(0f, 0f) z, cast(null as array<float>) n")
     assert tuple(df.select(cosine(F.col("a"), F.col("b")), cosine(F.col("a"), F.col("z")), cosine(F.col("a"), F.col("n"))).first()) == (0.96, None, None)
