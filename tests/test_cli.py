@@ -21,3 +21,22 @@ def test_sheet_is_answered(spark, tmp_path):
 def test_defaults():
     a = cli.parser().parse_args(["--docs-dir", "x"])
     assert (a.load_method, a.batch_size, a.chunk_size, a.overlap, a.db_location) == ("chunked", 100, 1024, 200, "memory")
+
+
+def test_chat_answers_until_exit(spark, tmp_path, monkeypatch, capsys):
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a.txt").write_text("--- Document Chunk 1 ---\nthe password is marzipan\n--- Document Chunk 2 ---\ntrains run on rails\n")
+    typed = iter(["what is the password?", "zzz", "  exit "])
+    monkeypatch.setattr("builtins.input", lambda _: next(typed))
+    common = ["--docs-dir", f"file://{tmp_path}/docs", "--db-location", f"file://{tmp_path}/store", "--dimensions", "128"]
+    cli.main(common, spark)
+    assert capsys.readouterr().out.split("\n")[:2] == ["the password is marzipan", "No passage was found."]
+    typed = iter(["where do trains run?", "exit"])
+
+    def loud(query, passages):
+        if "password" in query:
+            raise RuntimeError("no")
+        return passages[0].upper()
+
+    cli.main(["--docs-dir", "none", *common[2:]], spark, answerer=loud)
+    assert capsys.readouterr().out.split("\n")[0] == "TRAINS RUN ON RAILS"
