@@ -22,12 +22,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bitmap
 from tessera.llm import textvec as tv
+from tessera.plans.states import States
 from tessera.plans.tables import chunk_texts, stored, work_dir
 
 #: Length of a shared span that counts, in code points, and of the hashed windows.
@@ -94,8 +94,8 @@ _RUN = "h BIGINT, lo BIGINT, hi BIGINT"
 class SpanIndex:
     """Log-structured index of window hashes: immutable runs (h, lo, hi), bucketed and sorted by h, under ``root``.
 
-    What runs are live is itself a table under ``root``, to which each change appends a row, so a later session that
-    opens the same root goes on where this one ended.
+    What runs are live is told by a table of states under ``root``, so a later session that opens the same root goes on
+    where this one ended.
     """
 
     spark: SparkSession
@@ -103,28 +103,23 @@ class SpanIndex:
     max_runs: int = MAX_RUNS
 
     def __post_init__(self) -> None:
-        self.serial, self.runs = 0, []
-        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        self.states = States(self.spark, f"{self.root}/states", "runs array<string>, buckets int")
         self.label = hashlib.md5(self.root.encode()).hexdigest()[:12]
-        try:
-            states = self.spark.read.parquet(f"{self.root}/states")
-        except AnalysisException:  # a new index
-            return
-        last = states.orderBy(F.desc("serial")).first()
-        self.serial, self.runs, self.buckets = last.serial, list(last.runs), last.buckets
+        self.state = self.states.last()
+        self.runs = list(self.state.runs) if self.state else []
+        self.buckets = self.state.buckets if self.state else int(self.spark.conf.get("spark.sql.shuffle.partitions", "200"))
         for name in self.runs:
             self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({_RUN}) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {self.buckets} BUCKETS LOCATION '{self.root}/{name}'")
 
     def _write(self, rows: DataFrame) -> str:
         """Hashes of the rows as a run; rows are aggregated before the shuffle, which leaves them as the buckets want them."""
-        name = f"run_{self.label}_{self.serial + 1}_{uuid.uuid4().hex[:6]}"
+        name = f"run_{self.label}_{self.state.serial + 1 if self.state else 0}_{uuid.uuid4().hex[:6]}"
         run = rows.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         run.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.root}/{name}").option("compression", "lz4").format("parquet").saveAsTable(name)
         return name
 
     def _publish(self, runs: list[str]) -> None:
-        self.serial, self.runs = self.serial + 1, runs
-        self.spark.createDataFrame([(self.serial, runs, self.buckets)], "serial int, runs array<string>, buckets int").coalesce(1).write.mode("append").parquet(f"{self.root}/states")
+        self.state, self.runs = self.states.publish(self.state, runs, self.buckets), runs
 
     def add(self, occurrences: DataFrame) -> DataFrame:
         """Index a batch (h, did) and give, as a stored table, its hashes (h) that stand in more than one document of the
