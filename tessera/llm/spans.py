@@ -36,7 +36,7 @@ WINDOW = 100
 #: Groups of more occurrences than this are compared through a shuffle of their spans instead of inside a task.
 HOT = 512
 #: The index is compacted when it has more runs than this.
-MAX_RUNS = 4
+MAX_RUNS = 3
 
 
 def _slide(a: np.ndarray, width: int, pick) -> np.ndarray:  # type: ignore[no-untyped-def]
@@ -122,8 +122,8 @@ class SpanIndex:
         self.state, self.runs = self.states.publish(self.state, runs, self.buckets), runs
 
     def add(self, occurrences: DataFrame) -> DataFrame:
-        """Index a batch (h, did) and give, as a stored table, its hashes (h) that stand in more than one document of the
-        batch and of all batches before; compact when there are more than ``max_runs`` runs."""
+        """Index a batch (h, did) and give its hashes (h) that stand in more than one document of the batch and of all batches
+        before, to be computed from the runs, which never change; compact when there are more than ``max_runs`` runs."""
         name = self._write(occurrences.select("h", F.col("did").alias("lo"), F.col("did").alias("hi")))
         met = self.spark.table(name)
         lo, hi = [F.col("lo")], [F.col("hi")]
@@ -133,7 +133,7 @@ class SpanIndex:
             lo.append(F.col(f"lo{k}"))
             hi.append(F.col(f"hi{k}"))
         least, most = (F.least(*lo), F.greatest(*hi)) if len(lo) > 1 else (lo[0], hi[0])
-        shared = stored(met.where(least != most).select("h"))
+        shared = met.where(least != most).select("h")
         self._publish([*self.runs, name])
         if len(self.runs) > self.max_runs:
             self.compact()
@@ -275,7 +275,7 @@ def _contexts(records: DataFrame, hits: DataFrame, window: int, span: int) -> Da
     return stored(texts.join(around, ["cid", "did"]).mapInPandas(cut, _CONTEXTS))
 
 
-def shared_spans(records: DataFrame, batches: int = 6, window: int = WINDOW, span: int = SPAN) -> DataFrame:
+def shared_spans(records: DataFrame, batches: int = 5, window: int = WINDOW, span: int = SPAN) -> DataFrame:
     """(id, n_chars, shared_chars, share, n_spans): each record with how much of it stands word for word in another document.
 
     ``records`` has id, doc_id and text.  They are read and hashed once and enter the index in ``batches`` batches of whole
@@ -288,9 +288,9 @@ def shared_spans(records: DataFrame, batches: int = 6, window: int = WINDOW, spa
     occurrences = spark.read.schema(_OCCURRENCES).parquet(f"{folder}/occurrences")
     index = SpanIndex(spark, f"{folder}/index")
     found = [index.add(occurrences.where(F.col("batch") == k)) for k in range(batches)]
+    shared = stored(reduce(DataFrame.unionByName, found).distinct())
     index.close()
-    shared = reduce(DataFrame.unionByName, found).distinct()
-    inside = bitmap.build(reduce(DataFrame.unionByName, found), "h")
+    inside = bitmap.build(shared, "h")
     hits = stored(occurrences.where(bitmap.probe(inside, F.col("h"))).join(shared, "h").select("h", "did", "cid", "p").distinct())
     many = hits.groupBy("h").count().where(F.col("count") > HOT).select("h", F.lit(True).alias("many"))
     around = _contexts(records, hits, window, span)
