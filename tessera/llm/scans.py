@@ -22,6 +22,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -111,9 +112,10 @@ def pages(text: str) -> list[Page]:
 
 
 def distinct_pages(texts: DataFrame) -> DataFrame:
-    """(text): every page of the texts once, without white space around it; a text without page lines is one page."""
-    parts = texts.where("text is not null").select(F.explode(F.split("text", _PAGES)).alias("text"))
-    return parts.select(F.expr(r"btrim(text, ' \n\r\t')").alias("text")).where("text <> ''").distinct()
+    """(text, scan): every page of the texts once, without white space around it, and whether any scan has it; a text without
+    page lines is one page."""
+    parts = texts.where("text is not null").select(F.explode(F.split("text", _PAGES)).alias("text"), "scan")
+    return parts.select(F.expr(r"btrim(text, ' \n\r\t')").alias("text"), "scan").where("text <> ''").groupBy("text").agg(F.max("scan").alias("scan"))
 
 
 def _count_shapes(texts: list[str], counts: dict[str | None, list[int]]) -> None:
@@ -131,23 +133,13 @@ def _count_shapes(texts: list[str], counts: dict[str | None, list[int]]) -> None
                     counts.setdefault(s, [0, 0])[k not in edge] += 1
 
 
-def running_shapes(texts: DataFrame) -> DataFrame:
-    """(shape) of running lines over all pages.
+def running_shapes(counts: DataFrame) -> DataFrame:
+    """(shape) of running lines over all scanned pages.
 
     A shape seen k times at edges only would be so by chance with probability share ** k, share being the part of all
     lines that stand at edges; over all shapes that must be less than ``CHANCE``.
     """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict[str | None, list[int]] = {}
-        for f in frames:
-            _count_shapes(f["text"].tolist(), counts)
-            if len(counts) > 100_000:
-                yield pd.DataFrame([(s, a, b) for s, (a, b) in counts.items()], columns=["shape", "edge", "inner"])
-                counts.clear()
-        yield pd.DataFrame([(s, a, b) for s, (a, b) in counts.items()], columns=["shape", "edge", "inner"])
-
-    sums = stored(texts.select("text").mapInPandas(run, "shape string, edge long, inner long").groupBy("shape").agg(F.sum("edge").alias("edge"), F.sum("inner").alias("inner")))
+    sums = counts.where("kind = 'shape'").select(F.col("key").alias("shape"), F.col("n").alias("edge"), "inner")
     n, edge, inner = sums.agg(F.count("shape"), F.max(F.when(F.col("shape").isNull(), F.col("edge"))), F.max(F.when(F.col("shape").isNull(), F.col("inner")))).first()
     share = (edge or 0) / max((edge or 0) + (inner or 0), 1)
     # Short pages are all edge; a shape must then be seen as often as if half of the lines were.
@@ -250,38 +242,53 @@ def pattern(t: str, in_furniture: bool = False) -> str | None:
     return "".join("9" if c.isdigit() else c for c in t)
 
 
-def lexicon(texts: DataFrame) -> DataFrame:
-    """(word, n) over all texts: words of letters, and pairs of words closed up by a hyphen, as ``a-b``."""
+def _count_words(texts: list[str], total: Counter[str]) -> None:
+    """Words of letters, and pairs of words closed up by a hyphen, as ``a-b``."""
+    for part in tv.blocks(texts):
+        w = tv.words(texts[part])
+        if not len(w.hash):
+            continue
+        chars = w.cp.tobytes()
+        text = lambda a, b: chars[4 * a : 4 * b].decode("utf-32-le", "replace")  # noqa: E731, B023
+        figure = (w.cp >= 48) & (w.cp <= 57)
+        before = np.concatenate([[0], np.cumsum(figure)])
+        _, first, count = np.unique(w.hash, return_index=True, return_counts=True)
+        plain = before[w.end[first]] - before[w.start[first]] == 0
+        for k, n in zip(first[plain], count[plain], strict=True):
+            total[text(w.start[k], w.end[k])] += int(n)
+        pair = np.flatnonzero((w.start[1:] == w.end[:-1] + 1) & (w.cp[w.end[:-1]] == 45))
+        both = tv.mix(w.hash[pair] * np.uint64(3) + w.hash[pair + 1])
+        _, first, count = np.unique(both, return_index=True, return_counts=True)
+        at = pair[first]
+        plain = before[w.end[at + 1]] - before[w.start[at]] == 0
+        for k, n in zip(at[plain], count[plain], strict=True):
+            total[text(w.start[k], w.end[k + 1])] += int(n)
+
+
+def counted(pages_: DataFrame) -> DataFrame:
+    """The stored counts (kind, key, n, inner) over distinct pages: of every word, and of every shape of lines in scans, at
+    edges as n and inside pages as inner."""
+    columns = ["kind", "key", "n", "inner"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter[str] = Counter()
+        words: Counter[str] = Counter()
+        shapes: dict[str | None, list[int]] = {}
+
+        def rows() -> pd.DataFrame:
+            some = [("word", x, n, 0) for x, n in words.items()] + [("shape", x, a, b) for x, (a, b) in shapes.items()]
+            words.clear()
+            shapes.clear()
+            return pd.DataFrame(some, columns=columns)
+
         for f in frames:
-            texts = f["text"].tolist()
-            for part in tv.blocks(texts):
-                w = tv.words(texts[part])
-                if not len(w.hash):
-                    continue
-                chars = w.cp.tobytes()
-                _, first, count = np.unique(w.hash, return_index=True, return_counts=True)
-                text = lambda a, b: chars[4 * a : 4 * b].decode("utf-32-le", "replace")  # noqa: E731, B023
-                figure = (w.cp >= 48) & (w.cp <= 57)
-                before = np.concatenate([[0], np.cumsum(figure)])
-                plain = before[w.end[first]] - before[w.start[first]] == 0
-                for k, n in zip(first[plain], count[plain], strict=True):
-                    total[text(w.start[k], w.end[k])] += int(n)
-                pair = np.flatnonzero((w.start[1:] == w.end[:-1] + 1) & (w.cp[w.end[:-1]] == 45))
-                both = tv.mix(w.hash[pair] * np.uint64(3) + w.hash[pair + 1])
-                _, first, count = np.unique(both, return_index=True, return_counts=True)
-                for k, n in zip(pair[first], count, strict=True):
-                    x = text(w.start[k], w.end[k + 1])
-                    if not any(c.isdigit() for c in x):
-                        total[x] += int(n)
-            if len(total) > 200_000:
-                yield pd.DataFrame(list(total.items()), columns=["word", "n"])
-                total.clear()
-        yield pd.DataFrame(list(total.items()), columns=["word", "n"])
-
-    return texts.select("text").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+            _count_words(f["text"].tolist(), words)
+            _count_shapes(f["text"][f["scan"]].tolist(), shapes)
+            if len(words) + len(shapes) > 200_000:
+                yield rows()
+        yield rows()
+
+    sums = pages_.mapInPandas(run, "kind string, key string, n long, inner long").groupBy("kind", "key")
+    return stored(sums.agg(F.sum("n").alias("n"), F.sum("inner").alias("inner")))
 
 
 _READ = (
@@ -429,9 +436,14 @@ class Evidence:
 
 
 def evidence(scans: DataFrame, texts: DataFrame, extra_pages: DataFrame) -> Evidence:
-    """``scans`` are the scanned texts, ``texts`` all texts, ``extra_pages`` pages that are not among the texts."""
-    places = stored(running_places(scans, running_shapes(distinct_pages(scans.select("text").unionByName(extra_pages.select("text"))))))
-    words = stored(lexicon(distinct_pages(texts.select("text").unionByName(extra_pages.select("text")))))
+    """``scans`` are the scanned texts, ``texts`` all texts, ``extra_pages`` pages of scans that are not among the texts.  Where
+    ``texts`` has a flag ``scan`` it tells the scanned ones, so these need not be read once more."""
+    flag = F.coalesce("scan", F.lit(False)) if "scan" in texts.columns else F.lit(False)
+    each = [(texts, flag), (extra_pages, F.lit(True)), *([] if "scan" in texts.columns else [(scans, F.lit(True))])]
+    pages_ = reduce(DataFrame.unionByName, [d.select("text", scan.alias("scan")) for d, scan in each])
+    counts = counted(distinct_pages(pages_))
+    words = counts.where("kind = 'word'").select(F.col("key").alias("word"), "n")
+    places = stored(running_places(scans, running_shapes(counts)))
     read_ = stored(readings(scans, places))
     alike = one_of_alike(read_, scans)
     return Evidence(places, words, stored(corrections(scan_words(alike), words)), stored(number_patterns(scan_numbers(alike))), read_)
@@ -487,8 +499,8 @@ def defects(ev: Evidence) -> DataFrame:
 
 def repaired(scans: DataFrame, found: DataFrame, ev: Evidence) -> DataFrame:
     """(id, text): continuous paragraphs, without running lines, broken words put together, misread characters put right."""
-    fixes = found.where("defect = 'misread'").groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("token", "item"))).alias("tokens"))
-    wholes = found.where("defect = 'split_word'").groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\n", "left", "right"), "item"))).alias("wholes"))
+    of = lambda defect, key: F.map_from_entries(F.collect_set(F.when(F.col("defect") == defect, F.struct(key.alias("key"), "item"))))
+    marks = found.where("defect <> 'furniture'").groupBy("id").agg(of("misread", F.col("token")).alias("tokens"), of("split_word", F.concat_ws("\n", "left", "right")).alias("wholes"))
 
     def cased(like: str, word: str) -> str:
         letters = [c for c in like if c.isalpha()]
@@ -529,17 +541,19 @@ def repaired(scans: DataFrame, found: DataFrame, ev: Evidence) -> DataFrame:
                 out.append("\n\n".join(_TOKEN.sub(fix, " ".join(" ".join(p).split())) for p in paragraphs if p))
             yield pd.DataFrame({"id": f["id"], "text": out})
 
-    return scans.select("id", "text").join(ev.places, "id", "left").join(fixes, "id", "left").join(wholes, "id", "left").mapInPandas(run, "id string, text string")
+    return scans.select("id", "text").join(ev.places, "id", "left").join(marks, "id", "left").mapInPandas(run, "id string, text string")
 
 
 def _inputs(spark: SparkSession, sf_dir: str, kinds: str) -> tuple[DataFrame, Evidence]:
     texts = chunk_texts(spark, sf_dir)
     pages_ = table(spark, sf_dir, "scan_pages").where("text is not null")
+    direct = F.coalesce(F.col("load_method") == "direct", F.lit(False))
     if kinds == "direct":
-        scans = texts.where("load_method = 'direct'")
+        texts = texts.withColumn("scan", direct)
     else:
-        paths = pages_.where("path is not null").select(F.col("path").alias("source_path")).distinct()
-        scans = texts.where("load_method = 'direct'").unionByName(texts.where("load_method is null or load_method <> 'direct'").join(paths, "source_path", "left_semi"))
+        paths = pages_.where("path is not null").select(F.col("path").alias("source_path"), F.lit(True).alias("known")).distinct()
+        texts = texts.join(paths, "source_path", "left").withColumn("scan", direct | F.coalesce("known", F.lit(False)))
+    scans = texts.where("scan")
     scans = stored(scans.select("id", "text").dropDuplicates(["id"]))
     return scans, evidence(scans, texts, pages_.select("text"))
 
