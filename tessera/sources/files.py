@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,18 +15,13 @@ from tessera.operators import chunking
 Extractor = Callable[[bytes], list[str]]
 
 
-def _folder(spark: SparkSession, folder: str) -> None:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        raise FileNotFoundError(folder)
-
-
 def binary_files(spark: SparkSession, folder: str, glob: str, recursive: bool = False) -> DataFrame:
     """(path, content) of the files of a folder, below it too if ``recursive``; a missing folder is an error."""
-    _folder(spark, folder)
     reader = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower())
-    return reader.load(folder).select("path", "content")
+    try:
+        return reader.load(folder).select("path", "content")
+    except AnalysisException as e:
+        raise FileNotFoundError(folder) from e
 
 
 def texts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
