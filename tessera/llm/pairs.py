@@ -177,6 +177,7 @@ class Record:
         return cut(self.bare), cut(self.query)
 
 
+_FIGURED = re.compile(r"[^\W_㐀-鿿]*\d[^\W_㐀-鿿]*")
 _TOKENS = re.compile(r"[㐀-鿿]|[^\W㐀-鿿]+")
 Vote = Callable[[Record], int]
 
@@ -294,8 +295,7 @@ def _speaker(r: Record) -> int:
 
 def _states_facts(r: Record) -> int:
     """Figures the question has not; a refusal gives none."""
-    given = {x for x in r.tokens[0] if any(c.isdigit() for c in x)} - set(r.tokens[1])
-    return -1 if given else 0
+    return -1 if set(_FIGURED.findall(r.bare.lower())) - set(_FIGURED.findall(r.query.lower())) else 0
 
 
 def _offers(r: Record) -> int:
