@@ -19,7 +19,7 @@ from tessera.operators.embedding import hashing_embedder
 from tessera.operators.store import Collection, upserted
 from tessera.plans.tables import chunk_texts, stored, table, work_dir
 from tessera.sources.files import extracted_pages, load, marked_text, page_text, texts, wrapped_lines
-from tessera.sources.sinks import write_texts
+from tessera.sources.sinks import write_files, write_texts
 from tessera.streaming.ingest import chunk_stream, ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -262,8 +262,9 @@ def _folder(spark: SparkSession, sf_dir: str, broken: bool = True) -> str:
     """The documents as a folder of .txt files, one each, ended by a newline; every 97th has a broken encoding, or is left out."""
     docs, path = table(spark, sf_dir, "documents").where("text is not null"), work_dir(spark)
     bad = F.col("doc_id") % 97 == 0
-    body = F.when(bad, F.concat(F.expr("cast(X'FFFE' as string)"), "text")).otherwise(F.col("text"))
-    (docs if broken else docs.where(~bad)).select(body.alias("text")).write.option("maxRecordsPerFile", 1).text(path)
+    text = F.col("text").cast("binary")
+    body = F.when(bad, F.concat(F.expr("X'FFFE'"), text)).otherwise(text)
+    write_files((docs if broken else docs.where(~bad)).select(F.concat(body, F.expr("X'0A'")).alias("body")), path)
     return path
 
 

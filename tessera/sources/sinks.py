@@ -1,9 +1,13 @@
-"""Writers: answer files and named texts."""
+"""Writers: answer files, named texts and folders of files."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
 
+import pandas as pd
+from pyarrow.fs import FileSystem
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,3 +37,24 @@ def write_texts(texts: DataFrame, path: str) -> None:
     stem = F.regexp_replace("name", r"\.txt$", "")
     named = texts.withColumn("_n", again).select(F.when(F.col("_n") == 1, F.col("name")).otherwise(F.concat(stem, F.lit("-"), F.col("_n").cast("string"), F.lit(".txt"))).alias("name"), "text")
     named.write.json(path)
+
+
+def write_files(rows: DataFrame, folder: str) -> int:
+    """Write the ``body`` (binary) of each row as a ``.txt`` file of its own; gives their number.
+
+    Spark's writer starts a process a file to set its mode where Hadoop has no native library.  Names go by task and place,
+    so a task that runs again writes the same files.
+    """
+    fs, root = FileSystem.from_uri(folder)
+    fs.create_dir(root)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        (fs, root), part, n = FileSystem.from_uri(folder), TaskContext.get().partitionId(), 0
+        for f in frames:
+            for body in f["body"]:
+                with fs.open_output_stream(f"{root}/part-{part:05d}-{n:07d}.txt") as file:
+                    file.write(bytes(body))
+                n += 1
+        yield pd.DataFrame({"n": [n]})
+
+    return rows.select("body").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0

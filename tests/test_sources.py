@@ -94,3 +94,23 @@ def test_stream_is_idempotent(spark, tmp_path):
     put(tmp_path / "in", "b.txt", "another text")
     go()
     assert base.read().count() == 2
+
+
+def test_many_small_files_take_few_tasks(spark, tmp_path):
+    from tessera.sources import sinks
+
+    bodies = spark.range(300).selectExpr("cast(concat('text ', id, if(id % 7 = 0, '', '\n')) as binary) body").coalesce(2)
+    assert sinks.write_files(bodies, f"file://{tmp_path}/in") == 300 == len(list((tmp_path / "in").iterdir()))
+    store, context = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext
+    none = context._gateway.new_array(context._jvm.double, 0)
+
+    def tasks():
+        context._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, none, None)
+        return sum(stages.apply(j).numTasks() for j in range(stages.size()))
+
+    before, cost = tasks(), spark.conf.get("spark.sql.files.openCostInBytes")
+    base = Collection(spark, dimensions=16, location=f"file://{tmp_path}/base")
+    ingest(spark, f"file://{tmp_path}/in", base, hashing_embedder(16), f"file://{tmp_path}/state").awaitTermination()
+    assert tasks() - before < 100  # one a file to list them, before
+    assert {r.text for r in base.read().collect()} == {f"text {k}" for k in range(300)} and spark.conf.get("spark.sql.files.openCostInBytes") == cost
