@@ -20,7 +20,8 @@ from tessera.operators.embedding import Embedder
 from tessera.operators.store import Collection
 
 
-#: Files of a micro-batch, at most.  Every batch is a generation of the collection, with jobs of its own.
+#: Files of a micro-batch, at most; the driver holds their list.  Every batch is a generation of the collection, with jobs of its
+#: own.
 FILES_PER_BATCH = 20_000
 
 
@@ -32,6 +33,7 @@ def _small_files(spark: SparkSession) -> SparkSession:
             own.conf.set(key, value)
     own.conf.set("spark.sql.files.openCostInBytes", "64k")  # by default 4 MB, which makes a task of a few files
     own.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(4 * spark.sparkContext.defaultParallelism))
+    own.conf.set("spark.sql.hive.filesourcePartitionFileCacheSize", "0")  # else the driver keeps the lists of past batches
     return own
 
 
